@@ -17,16 +17,20 @@ BUCKET_BYTES = 16 << 20
 
 
 def _fisher_yates(seed: int):
-    """Over partitions sorted by bucket: rows in a seeded random order, with their place in the bucket."""
+    """Over partitions sorted by bucket: rows in a seeded random order, ``_start`` now their place in the whole order.
+
+    The first row of a bucket is its header and carries where the bucket starts.
+    """
 
     def shuffled(parts: list[pa.RecordBatch], bucket: int) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(parts)
+        place = table["_start"][0].as_py()
+        table = table.slice(1).drop_columns(["_start"])
         order = np.random.Generator(np.random.PCG64([seed, bucket])).permutation(table.num_rows)
-        place = 0
         for start in range(0, table.num_rows, 2048):
             got = table.take(pa.array(order[start : start + 2048])).combine_chunks()
             for b in got.to_batches():
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.arange(place, place + b.num_rows, dtype=np.int64))], names=[*b.schema.names, "_place"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.arange(place, place + b.num_rows, dtype=np.int64))], names=[*b.schema.names, "_start"])
                 place += b.num_rows
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +57,7 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byte
     """``docs`` with ``shard`` and ``slot``: a uniformly random order, cut into shards whose counts differ by one at most.
 
     Pass one scatters rows by a seeded hash of identifier and text into as many buckets as give each ``bucket_bytes``;
-    pass two permutes every bucket. A row's place in the whole order is its bucket's start plus its place there; places
+    pass two permutes every bucket. A row's place in the whole order is its bucket's start, which a header row brings along, plus its place there; places
     are dealt to the shards in turn, so slots have no gaps. The same seed gives the same order whatever the
     partitioning. Null identifiers and texts are hashed like others; repeated rows each have a place (rows that repeat
     an identifier and text share a bucket, which grows by them); other columns are carried unread. An empty table gives
@@ -65,11 +69,11 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byte
     keyed = docs.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))), F.lit(buckets)))
     count = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     starts = count.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_start"))
-    dealt = keyed.repartition("_bucket").sortWithinPartitions("_bucket", id_col, text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema) + ", _place long"
-    placed = dealt.mapInArrow(_fisher_yates(seed), schema).join(starts, "_bucket")
-    at = F.col("_start") + F.col("_place")
-    return placed.select(*docs.columns, (at % shards).cast("int").alias("shard"), F.floor(at / shards).cast("long").alias("slot"))
+    headers = starts.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema], F.col("_bucket"), F.col("_start"))
+    rows = keyed.withColumn("_start", F.lit(None).cast("long")).unionAll(headers)
+    dealt = rows.repartition("_bucket").sortWithinPartitions("_bucket", F.col("_start").isNull(), id_col, text_col)
+    placed = dealt.mapInArrow(_fisher_yates(seed), rows.schema)
+    return placed.select(*docs.columns, (F.col("_start") % shards).cast("int").alias("shard"), F.floor(F.col("_start") / shards).cast("long").alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
