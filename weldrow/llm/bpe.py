@@ -16,7 +16,11 @@ from weldrow.llm.sampling import about
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Most frequent words whose ids are looked up and not folded again; documents that they are counted in, at most about.
-FREQUENT, COUNTED_ROWS = 65_536, 20_000
+FREQUENT, COUNTED_ROWS = 200_000, 20_000
+#: Entries in a bucket of a literal map, at most on average.
+PER_BUCKET = 4
+#: Base of a pair's key; the rank of no pair.
+PAIR, NONE = 1 << 32, 2**31 - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -30,21 +34,26 @@ def pattern(pat: str) -> str:
 
 
 class LiteralMap:
-    """String keys to values as one literal: an array of small maps, found by xxhash64, so that a lookup is short.
+    """Keys (text or whole numbers) to values as one literal: buckets of keys ``k`` and values ``v``, found by xxhash64.
 
-    (A single literal map is searched from end to end.)
+    (Spark searches a literal map from end to end.) ``get`` takes the literal bound to a lambda variable, so that a
+    plan holds it once.
     """
 
-    def __init__(self, entries: dict[str, object], kind: str) -> None:
-        self.mask = (1 << max(0, len(entries).bit_length())) - 1
-        buckets: list[dict] = [{} for _ in range(self.mask + 1)]
+    def __init__(self, entries: dict, key_kind: str, kind: str) -> None:
+        self.mask = (1 << max(0, (len(entries) // PER_BUCKET).bit_length())) - 1
+        buckets: list[dict] = [{"k": [], "v": []} for _ in range(self.mask + 1)]
         for k, v in entries.items():
-            buckets[xxhash.xxh64_intdigest(k.encode(), 42) & self.mask][k] = v
-        self.literal = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))), f"array<map<string,{kind}>>")
+            raw = k.encode() if isinstance(k, str) else k.to_bytes(8, "little", signed=True)
+            at = buckets[xxhash.xxh64_intdigest(raw, 42) & self.mask]
+            at["k"].append(k)
+            at["v"].append(v)
+        self.literal = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))), f"array<struct<k:array<{key_kind}>,v:array<{kind}>>>")
 
-    def get(self, key: Column) -> Column:
+    def get(self, bound: Column, key: Column) -> Column:
         """The value, or null."""
-        return F.get(self.literal, F.xxhash64(key).bitwiseAND(F.lit(self.mask)).cast("int"))[key]
+        at = F.get(bound, F.xxhash64(key).bitwiseAND(F.lit(self.mask)).cast("int"))
+        return let(at, lambda bucket: F.get(bucket["v"], F.array_position(bucket["k"], key).cast("int") - 1))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -53,58 +62,75 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 class Codec:
-    """Encoding and decoding expressions for one vocabulary. Pieces of bytes are written in hexadecimal."""
+    """Encoding and decoding expressions for one vocabulary.
+
+    A token's id is its rank. The literal rank map goes from two ids to the id of their joined bytes: all ways to cut a
+    token into two tokens, so that a pair is found exactly when its bytes are a token.
+    """
 
     def __init__(self, path: str, pat: str) -> None:
-        self.ranks, self.pat = read_ranks(path), pattern(pat)
-        self.rank = LiteralMap({k.hex().upper(): v for k, v in self.ranks.items()}, "int")
-        by_id = [""] * (max(self.ranks.values()) + 1)
-        for k, v in self.ranks.items():
-            by_id[v] = k.hex().upper()
-        self.le = F.from_json(F.lit(json.dumps([i.to_bytes(4, "little").hex().upper() for i in range(len(by_id))])), "array<string>")
-        self.pieces = F.from_json(F.lit(json.dumps(by_id, separators=(",", ":"))), "array<string>")
+        ranks = read_ranks(path)
+        self.pat = pattern(pat)
+        pairs = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                a, b = ranks.get(token[:k]), ranks.get(token[k:])
+                if a is not None and b is not None:
+                    pairs[a * PAIR + b] = rank
+        self.pairs = LiteralMap(pairs, "bigint", "int")
+        self.bytes = LiteralMap({f"{i:02X}": ranks[bytes([i])] for i in range(256)}, "string", "int")
+        self.whole = LiteralMap({k.hex().upper(): v for k, v in ranks.items() if len(k) > 1}, "string", "int")
+        by_id = [b""] * (max(ranks.values()) + 1)
+        for k, v in ranks.items():
+            by_id[v] = k
+        listed = lambda xs: F.from_json(F.lit(json.dumps([x.hex().upper() for x in xs], separators=(",", ":"))), "array<string>")
+        self.pieces, self.le = listed(by_id), listed([i.to_bytes(4, "little") for i in range(len(by_id))])
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pat), F.lit(0))
 
-    def fold(self, word: Column) -> Column:
-        """Ids of one word. State: pieces in hexadecimal, the rank of each with its successor, and the least rank.
+    def bound(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+        """``body`` of an expression builder word -> ids, with the vocabulary's literals bound once around it."""
+        return let(self.pairs.literal, lambda pairs: let(self.bytes.literal, lambda by: let(self.whole.literal, lambda whole: body(lambda word: self._word_ids(word, pairs, by, whole)))))
 
-        Each step merges the leftmost pair of least rank, as long as there is one; only the two pairs beside it are
-        looked up again.
+    def _word_ids(self, word: Column, pairs: Column, by: Column, whole: Column) -> Column:
+        """Ids of one word: a token as it is, else its bytes with merges folded in.
+
+        State: ids of the pieces, for each the id that it and its successor make (NONE if none), and the least of
+        those. Each step merges the leftmost pair of least rank, as long as there is one; only the two pairs beside it
+        are looked up again.
         """
-        big = F.lit(2**31 - 1)
 
-        def known(pair: Column) -> Column:
-            return F.coalesce(self.rank.get(pair), big)
+        def made(a: Column, b: Column) -> Column:
+            return F.coalesce(self.pairs.get(pairs, a.cast("long") * PAIR + b), F.lit(NONE))
 
         def state(p: Column, ranks: Column) -> Column:
             return let(ranks, lambda r: F.struct(p.alias("p"), r.alias("r"), F.array_min(r).alias("m")))
 
-        def merged(s: Column, at: Column, both: Column) -> Column:
-            p, r = s["p"], s["r"]
-            before = F.when(at > 1, F.array(known(F.concat(F.get(p, at - 2), both)))).otherwise(F.array().cast("array<int>"))
-            after = F.array(known(F.concat(both, F.get(p, at + 1))))
+        def merged(s: Column, at: Column) -> Column:
+            p, r, m = s["p"], s["r"], s["m"]
+            beside = F.when(at > 1, F.array(made(F.get(p, at - 2), m), made(m, F.get(p, at + 1)))).otherwise(F.array(made(m, F.get(p, at + 1))))
             long = F.size(p)
-            pieces = F.concat(F.slice(p, F.lit(1), at - 1), F.array(both), F.slice(p, at + 2, long))
-            return state(pieces, F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(r, at + 2, long)))
+            pieces = F.concat(F.slice(p, F.lit(1), at - 1), F.array(m), F.slice(p, at + 2, long))
+            return state(pieces, F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), beside, F.slice(r, at + 2, long)))
 
         def step(s: Column, _: Column) -> Column:
-            at = F.array_position(s["r"], s["m"]).cast("int")  # from 1
-            return F.when(s["m"] == big, s).otherwise(let(at, lambda at: let(F.concat(F.get(s["p"], at - 1), F.get(s["p"], at)), lambda both: merged(s, at, both))))
+            return F.when(s["m"] == NONE, s).otherwise(let(F.array_position(s["r"], s["m"]).cast("int"), lambda at: merged(s, at)))
 
         def folded(hexed: Column) -> Column:
             n = (F.length(hexed) / 2).cast("int")
             each = F.sequence(F.lit(0), n - 1)
-            pieces = F.transform(each, lambda i: F.substring(hexed, i * 2 + 1, F.lit(2)))
-            ranks = F.transform(each, lambda i: known(F.when(i < n - 1, F.substring(hexed, i * 2 + 1, F.lit(4)))))
-            return F.transform(F.aggregate(each, state(pieces, ranks), step)["p"], self.rank.get)
+            single = F.transform(each, lambda i: self.bytes.get(by, F.substring(hexed, i * 2 + 1, F.lit(2))))
+            start = let(single, lambda p: state(p, F.transform(p, lambda x, i: made(x, F.get(p, i + 1)))))
+            return F.aggregate(each, start, step)["p"]
+
+        def ids(hexed: Column) -> Column:
+            return let(self.whole.get(whole, hexed), lambda got: F.when(got.isNotNull(), F.array(got)).otherwise(folded(hexed)))
 
-        return let(F.hex(F.encode(word, "utf-8")), folded)
+        return let(F.hex(F.encode(word, "utf-8")), ids)
 
     def word_ids(self, word: Column) -> Column:
-        whole = self.rank.get(F.hex(F.encode(word, "utf-8")))
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(self.fold(word))
+        return self.bound(lambda ids: ids(word))
 
     def little_endian(self, ids: Column) -> Column:
         """The ids as unsigned 32-bit integers, lowest byte first."""
@@ -130,8 +156,9 @@ def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str
     empty table gives an empty result.
     """
     counted = about(docs.select(id_col, text_col), F.col(id_col), COUNTED_ROWS)
-    known = LiteralMap({r["word"]: r["ids"] for r in frequent_words(counted, codec, text_col).toLocalIterator()}, "array<int>")
-    ids = F.flatten(F.transform(codec.words(F.col(text_col)), lambda w: F.coalesce(known.get(w), codec.word_ids(w))))
+    known = LiteralMap({r["word"]: r["ids"] for r in frequent_words(counted, codec, text_col).toLocalIterator()}, "string", "array<int>")
+    words = codec.words(F.col(text_col))
+    ids = let(known.literal, lambda often: codec.bound(lambda fold: F.flatten(F.transform(words, lambda w: F.coalesce(known.get(often, w), fold(w))))))
     return docs.select(F.col(id_col).alias("doc_id"), ids.alias("ids"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weldrow.llm.blocks import in_blocks
 from weldrow.llm.runs import Sets, iter_runs
 from weldrow.operators.components import connected_components
-from weldrow.session import cut
+from weldrow.session import cut, written
 
 SHINGLE_WORDS, RADIUS = 3, 2
 #: Fingerprints in a tree; a shard with more is cut into such blocks, every two of which meet.
@@ -24,19 +24,30 @@ SEED = 42
 STEP = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """64-bit SimHash of lower-cased (A-Z) word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """XXH64 of every lower-cased (A-Z) word shingle, repeats included; of all words if they are fewer."""
     raw = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and white space only
     if not raw:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(raw)
     ends = np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(raw) - words + 1)
     h, view = xxhash.xxh64_intdigest, memoryview(joined)
-    hashes = np.array([h(view[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[min(words, len(raw)) - 1 :].tolist(), strict=True)], dtype=">u8")
-    ones = sum(np.unpackbits(hashes[i : i + STEP].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for i in range(0, n, STEP))
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return np.array([h(view[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[min(words, len(raw)) - 1 :].tolist(), strict=True)], dtype=np.uint64)
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
+    big = hashes.astype(">u8")
+    ones = sum(np.unpackbits(big[i : i + STEP].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for i in range(0, len(big), STEP))
+    return int.from_bytes(np.packbits(2 * ones > len(big)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    """64-bit SimHash of word shingles; 0 without words."""
+    hashes = shingle_hashes(text, words)
+    return bits_of(hashes) if len(hashes) else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
@@ -156,11 +167,110 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component: the one that names it."""
-    groups = simhash_components(docs, id_col, text_col, words, radius)
-    drop = cut(groups.where("component_id is not null and (doc_id is null or doc_id <> component_id)").select(F.col("doc_id").alias("_id")).distinct())
-    return docs.alias("d").join(drop.alias("x"), F.col(f"d.{id_col}").eqNullSafe(F.col("x._id")), "left_anti")
+#: Near duplicates of whole documents: words of a shingle, least Jaccard similarity of two shingle sets.
+NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
+#: Bits within which pairs of that similarity lie (10 of 64 are expected), and the size of a tree there.
+NEAR_RADIUS, NEAR_TREE = 24, 1024
+#: Minima in a shard key, and keys a document: a pair at 0.8 misses every common shard once in 200 times.
+KEY_MINIMA, KEYS = 4, 10
+
+
+def _multipliers(n: int) -> np.ndarray:
+    return np.random.default_rng(5).integers(1, 1 << 63, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(text: str | None, words: int, multipliers: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(fingerprint, shard keys, sorted distinct 32-bit shingle hashes) of a whole text."""
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return 0, np.zeros(KEYS, np.int64), np.empty(0, np.uint32)
+    distinct = np.unique(hashes)
+    least = np.array([(distinct * m).min() for m in multipliers]).reshape(KEYS, KEY_MINIMA)
+    keys = np.arange(KEYS, dtype=np.uint64)
+    for k in range(KEY_MINIMA):
+        keys = (keys ^ least[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return bits_of(hashes), keys.view(np.int64), np.unique((distinct >> np.uint64(16)).astype(np.uint32))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted sets; 1 for two empty ones."""
+    if not len(a) and not len(b):
+        return 1.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def _verified_links(similarity: float, radius: int):
+    """Over sorted block pairs: documents whose sets are similar, found through the block's BK-tree."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in iter_runs(batches, ["key", "_i", "_j"], lists=("shingles",)):
+            n = len(run["id"])
+            if n < 2:
+                continue
+            fps, shingles = run["fp"].view(np.uint64).tolist(), run["shingles"]
+            sets, tree, homes = Sets(n), BKTree(), []
+            within_one = run["_i"][0] == run["_j"][0]
+            indexed = range(n) if within_one else np.flatnonzero(run["_block"] == run["_i"][0]).tolist()
+
+            def link(x: int) -> None:
+                for at in tree.within(fps[x], radius):  # noqa: B023
+                    for y in homes[at]:  # noqa: B023
+                        small, large = sorted((len(shingles[x]), len(shingles[y])))  # noqa: B023
+                        if small >= similarity * large and sets.find(x) != sets.find(y) and jaccard(shingles[x], shingles[y]) >= similarity:  # noqa: B023
+                            sets.union(x, y)  # noqa: B023
+
+            for x in indexed:
+                if within_one:
+                    link(x)
+                at = tree.add(fps[x])
+                if at == len(homes):
+                    homes.append([])
+                homes[at].append(x)
+            if not within_one:
+                for x in np.flatnonzero(run["_block"] == run["_j"][0]).tolist():
+                    link(x)
+            ids = run["id"]
+            rows = [(ids[x], ids[top]) for x in range(n) if (top := sets.find(x)) != x]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b"])
+
+    return scan
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
+    """``doc_id, component_id`` of the documents that have a near duplicate.
+
+    Near duplicates share at least ``similarity`` of the union of their word shingles. That is many differing bits of
+    64, more than bit blocks can find; so here a shard is the documents with a common key of minima over their
+    shingles. Its BK-tree gives those within ``radius`` bits, and whole shingle sets decide. Documents that are
+    joined already are not compared again, and one edge a document leaves the shard. Identifiers are whole numbers;
+    rows without one are left alone.
+    """
+    multipliers = _multipliers(KEYS * KEY_MINIMA)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                got = [sketch(t.as_py(), words, multipliers) for t in b.column(1)]
+                fps = np.array([g[0] for g in got], dtype=np.uint64).view(np.int64)
+                lists = [pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2].view(np.int32) for g in got], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *lists], names=["id", "fp", "keys", "shingles"])
+
+    slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sketches = written(slim.mapInArrow(scan, "id long, fp long, keys array<long>, shingles array<int>"))
+    dealt = in_blocks(sketches.select("id", "fp", F.explode("keys").alias("key")), ["key"], "id", NEAR_TREE)
+    on = ["key", "_i", "_j"]
+    rows = dealt.join(sketches.select("id", "shingles"), "id").select(*on, "_block", "id", "fp", "shingles")
+    edges = rows.repartition(*on).sortWithinPartitions(*on, "id").mapInArrow(_verified_links(similarity, radius), "a long, b long")
+    return connected_components(edges, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group: the one of the smallest identifier."""
+    drop = cut(near_groups(docs, id_col, text_col, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")))
+    return docs.join(drop, F.col(id_col) == F.col("_id"), "left_anti")
 
 
 def op4_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
