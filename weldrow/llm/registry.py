@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weldrow.llm import bpe, exact_dedup, langid, packing, quality, shuffling, simhash, url_filter, vectors
+from weldrow.llm import bpe, exact_dedup, langid, packing, quality, shuffling, simhash, url_filter, vectors, warc
 
 QUERIES = {
+    "op1_revisit_asof": warc.op1_revisit_asof,
     "op2_tree_merge_dedup": exact_dedup.op2_tree_merge_dedup,
     "op3_ftrl_quality": quality.op3_ftrl_quality,
     "op4_simhash_bk": simhash.op4_simhash_bk,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_itq_vectors": vectors.op10_itq_vectors,
 }
 ORACLES = {
+    "op1_revisit_asof": warc.ORACLE,
     "op2_tree_merge_dedup": exact_dedup.ORACLE,
     "op7_link_graph": url_filter.oracle(),
 }
