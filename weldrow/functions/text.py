@@ -156,7 +156,7 @@ def split_email(c: Column) -> tuple[Column, Column]:
 
 
 def luhn_valid(c: Column) -> Column:
-    return F.luhn_check(c)
+    return F.call_function("luhn_check", c)
 
 
 def npi_check_digit(nine: Column) -> Column:
