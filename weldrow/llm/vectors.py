@@ -46,13 +46,13 @@ class Coder:
 
 def itq(x: np.ndarray, rounds: int, rng: np.random.Generator) -> np.ndarray:
     """A rotation for balanced codes (Gong and Lazebnik 2011): signs and rotation are fitted to each other in turns."""
-    _, _, axes = np.linalg.svd(x, full_matrices=True)
-    v = x @ axes.T
+    axes = np.linalg.eigh(x.T @ x)[1]
+    v = x @ axes
     r = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))[0]
     for _ in range(rounds):
         u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
         r = (u @ w).T
-    return axes.T @ r
+    return axes @ r
 
 
 def learn(x: np.ndarray, rows: int, cosine: float = COSINE, recall: float = RECALL) -> Coder:
@@ -148,7 +148,8 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     good = slim.where("fine")
     classes = cut(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     sizes = classes.groupBy("label", F.size("embedding").alias("dim")).count().groupBy("dim").agg(F.max("count").alias("n")).collect()
-    sample = [np.array(r[0]) for r in about(classes.select("embedding", "rep"), F.col("rep"), train_rows).select("embedding").toPandas().itertuples(index=False)]
+    sample = about(classes.select("embedding", "rep"), F.col("rep"), train_rows).select("embedding").toArrow().column(0)
+    sample = [x for c in sample.chunks for _, xs in _matrices(c) for x in xs]
     coders: dict[int, Coder] = {}
     for dim, n in sorted((r["dim"], r["n"]) for r in sizes):
         x = [v for v in sample if len(v) == dim]
