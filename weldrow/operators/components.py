@@ -9,13 +9,17 @@ from weldrow.session import cut
 
 
 def _hooks(edges: DataFrame) -> DataFrame:
-    """(node, up): each node's least neighbour or itself, followed for up to four hops."""
+    """(node, up): each node hooks to its least neighbour or itself, and follows hooks to their end.
+
+    Following doubles its reach each time, so a chain of any length ends after the logarithm of it.
+    """
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("up"))
-    for _ in range(2):
+    up = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("up")))
+    while True:
         top = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        up = cut(up.join(top, "up", "left").select("node", F.coalesce("top", "up").alias("up")))
-    return up
+        up = cut(up.join(top, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+        if up.where("moved").isEmpty():
+            return up.drop("moved")
 
 
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
