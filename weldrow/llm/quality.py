@@ -16,8 +16,8 @@ from weldrow.llm.sampling import about, remainder
 
 #: Hash space: 2 ** BITS weights.
 BITS = 20
-#: At most about so many labelled rows are trained on, taken by hash; passes over them.
-TRAIN_ROWS, PASSES = 6000, 2
+#: At most about so many labelled rows are trained on, taken by hash; whole passes over them make so many updates at least.
+TRAIN_ROWS, UPDATES = 6000, 12_000
 #: FTRL-proximal: learning rate, its offset, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-4
 #: Score from which a document is kept; folds of which one is held out.
@@ -57,12 +57,12 @@ class Model:
         return float(1 / (1 + np.exp(-x)))
 
 
-def train(rows: list[tuple[str | None, int]], passes: int = PASSES) -> Model:
+def train(rows: list[tuple[str | None, int]], updates: int = UPDATES) -> Model:
     """FTRL-proximal (McMahan et al. 2013), one update a document, in the given order."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     zb = nb = bias = 0.0
     prepared = [(*features(t), y) for t, y in rows]
-    for _ in range(passes):
+    for _ in range(max(2, -(-updates // max(1, len(rows))))):
         for index, value, y in prepared:
             zi, ni = z[index], n[index]
             w = np.where(np.abs(zi) > L1, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2), 0.0)
