@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weldrow.functions.text import haversine_km, jaro_winkler
 
-Side = Callable[[str, str], Column]  # (side, column) -> the pair's column
-
-
 def side(s: str, name: str) -> Column:
     return F.col(f"{name}_{s}")
 
@@ -32,12 +29,12 @@ class Comparison:
 
     name: str
     columns: tuple[str, ...]
-    null: Column
+    null: Callable[[], Column]
     levels: tuple[Level, ...]
     jw: tuple[str, ...] = ()
 
     def gamma(self, similarity: Callable[[str], Column]) -> Column:
-        out = F.when(self.null, F.lit(-1))
+        out = F.when(self.null(), F.lit(-1))
         for i, level in enumerate(self.levels):
             out = out.when(F.coalesce(level.test(similarity), F.lit(False)), F.lit(len(self.levels) - i))
         return out.otherwise(F.lit(0))
@@ -62,8 +59,12 @@ def overlapping(column: str, label: str, least: int = 1) -> Level:
 
 def reversed_columns(a: str, b: str, symmetrical: bool = False) -> Level:
     """Columns swapped between the two records: left a with right b, and the other way round if ``symmetrical``."""
-    one, two = side("l", a) == side("r", b), side("l", b) == side("r", a)
-    return Level(f"{a} and {b} swapped", lambda _: one & two if symmetrical else one)
+
+    def test(_) -> Column:
+        one = side("l", a) == side("r", b)
+        return one & (side("l", b) == side("r", a)) if symmetrical else one
+
+    return Level(f"{a} and {b} swapped", test)
 
 
 def both(label: str, *levels: Level) -> Level:
@@ -80,21 +81,16 @@ def within_km(lat: str, lon: str, km: float) -> Level:
     return Level(f"within {km:g} km", lambda _: haversine_km(side("l", lat), side("l", lon), side("r", lat), side("r", lon)) <= km)
 
 
-def missing(*columns: str) -> Column:
-    """Null level: for each column, a side is null."""
-    out = F.lit(True)
-    for c in columns:
-        out = out & (side("l", c).isNull() | side("r", c).isNull())
-    return out
+def missing(*columns: str) -> Callable[[], Column]:
+    """Null level: for each column, a side is null. Built when used, as profiles exist before any session."""
 
+    def test() -> Column:
+        out = F.lit(True)
+        for c in columns:
+            out = out & (side("l", c).isNull() | side("r", c).isNull())
+        return out
 
-@dataclass
-class Vectors:
-    """Gamma columns over candidate pairs."""
-
-    comparisons: list[Comparison]
-    frame: DataFrame
-    names: list[str] = field(default_factory=list)
+    return test
 
 
 def gammas(pairs: DataFrame, comparisons: list[Comparison]) -> DataFrame:
