@@ -19,6 +19,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 FREQUENT, COUNTED_ROWS = 200_000, 20_000
 #: Entries in a bucket of a literal map, at most on average.
 PER_BUCKET = 4
+#: Characters of a plan's text that are kept.
+PLAN_TEXT = 4096
 #: Base of a pair's key; the rank of no pair.
 PAIR, NONE = 1 << 32, 2**31 - 1
 
@@ -155,6 +157,8 @@ def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str
     bounded part of the documents. No row is shuffled. Repeated rows are encoded each; other columns are not read; an
     empty table gives an empty result.
     """
+    # plans are also kept as text, literals written out in every node; without this limit that text fills the driver
+    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
     counted = about(docs.select(id_col, text_col), F.col(id_col), COUNTED_ROWS)
     known = LiteralMap({r["word"]: r["ids"] for r in frequent_words(counted, codec, text_col).toLocalIterator()}, "string", "array<int>")
     words = codec.words(F.col(text_col))
