@@ -7,20 +7,17 @@ import json
 from pathlib import Path
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from weldrow import report
 from weldrow.config import EngagementConfig
 from weldrow.ingest import LookupCache, MockClient, propose_mapping, standardize_values
-from weldrow.operators import evaluate as E
+from weldrow.plans import evaluation as P
 from weldrow.plans.linkage import run_linkage
 from weldrow.profiles import get_profile
 from weldrow.sources.knowledge import TABLES, KnowledgeBase
 from weldrow.sources.tables import load_source, read_table
 from weldrow.synth import SyntheticConfig, generate
 
-GRID = [round(0.5 + 0.025 * i, 3) for i in range(20)] + [0.99, 0.995, 0.999]
-
 
 def build_parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="weldrow")
@@ -33,8 +30,17 @@ def build_parser() -> argparse.ArgumentParser:
         s = verbs.add_parser(name)
         s.add_argument("--config", required=True)
         s.add_argument("--out")
-        if name != "run":
+        if name == "evaluate":
             s.add_argument("--truth", required=True)
+            s.add_argument("--baseline-threshold", type=float, default=85.0)
+            s.add_argument("--no-baselines", action="store_true", help="leave out the all-pairs yardsticks, which are quadratic")
+            s.add_argument("--tune-seed", type=int, help="tune the thresholds on synthetic data of this seed first")
+            s.add_argument("--tune-entities", type=int, default=1000)
+            s.add_argument("--ablate-nppes", action="store_true", help="also run without the registry's columns")
+            s.add_argument("--write-kb", action="store_true")
+        if name == "tune":
+            s.add_argument("--seed", type=int, required=True)
+            s.add_argument("--n-entities", type=int, default=1000)
     s = verbs.add_parser("propose-mapping")
     for a in ("--source", "--path", "--profile", "--out"):
         s.add_argument(a, required=True)
@@ -53,11 +59,20 @@ def build_parser() -> argparse.ArgumentParser:
     return p
 
 
-def _tables(result, truth):
-    known = E.true_pairs(truth)
-    sources = [r[0] for r in truth.select("source").distinct().collect()]
-    edges = E.restrict(result.edges, sources)
-    return known, edges, E.pr_curve(edges, "match_probability", known, GRID)
+def _evaluate(spark: SparkSession, a: argparse.Namespace, config: EngagementConfig, kb: KnowledgeBase, out: Path) -> P.Evaluation:
+    if a.tune_seed is not None:
+        tuned = P.tune_thresholds(spark, config, a.tune_seed, a.tune_entities, out / "tuning", kb)
+        config.thresholds = tuned.thresholds(config.thresholds.review_lower)
+        tuned.save(out / "thresholds.json")
+    truth = read_table(spark, a.truth)
+    result = run_linkage(spark, config, knowledge_base=kb, kb_write=a.write_kb)
+    done = P.evaluate(result, truth, config.thresholds, {} if a.no_baselines else P.fuzzy_baselines(result, truth, a.baseline_threshold))
+    if a.ablate_nppes:
+        bare = config.model_copy(deep=True)
+        bare.reference.enrich_from_nppes = False
+        other = P.evaluate(run_linkage(spark, bare, knowledge_base=kb, kb_write=False), truth, bare.thresholds)
+        done.ablations = [{**r, "method": f"{r['method']}, no registry"} for r in other.summary()]
+    return done
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -93,26 +108,21 @@ def main(argv: list[str] | None = None) -> int:
                 print(source.name, n, standardize_values(frame.select(n), a.kind, MockClient(), cache, config.llm.max_distinct_values_per_call))
         cache.save()
         return 0
-    result = run_linkage(spark, config, knowledge_base=kb, kb_write=a.verb == "run")
     out = Path(a.out or config.resolve(config.output.dir))
     out.mkdir(parents=True, exist_ok=True)
-    if a.verb == "run":
-        result.write(out)
-        report.explanation(result, out / "explanation.html", config.output.explanation_sample_pairs)
-        print(json.dumps(result.stats, default=str))
-        return 0
-    truth = read_table(spark, a.truth)
-    known, edges, curve = _tables(result, truth)
     if a.verb == "tune":
-        sweep = E.auto_link_sweep(edges, known, config.thresholds.review_lower, GRID).orderBy("expected_cost_minutes", "threshold").limit(1).first()
-        print(json.dumps(sweep.asDict()))
+        tuned = P.tune_thresholds(spark, config, a.seed, a.n_entities, out / "tuning", kb)
+        print(tuned.save(out / "thresholds.json"))
+        return 0
+    if a.verb == "evaluate":
+        done = _evaluate(spark, a, config, kb, out)
+        done.write(out)
+        print(json.dumps({"methods": done.summary(), "cluster": done.cluster}, default=str))
         return 0
-    rows = [r.asDict() for r in curve.orderBy("threshold").collect()]
-    cluster = E.cluster_vs_truth(result.crosswalk.where(F.col("source") != "nppes"), truth).first().asDict()
-    best = E.best_row(curve).first().asDict()
-    report.evaluation([{"method": "pipeline @ best F1", **best}], {"pipeline": rows}, cluster, out / "evaluation.html")
-    (out / "evaluation.md").write_text(report.to_markdown([best, *rows]))
-    print(json.dumps({"best": best, "cluster": cluster}))
+    result = run_linkage(spark, config, knowledge_base=kb)
+    result.write(out)
+    report.explanation(result, out / "explanation.html", config.output.explanation_sample_pairs)
+    print(json.dumps(result.stats, default=str))
     return 0
 
 

@@ -318,6 +318,14 @@ class LookupCache:
         return self.kb.append(self.table, rows)
 
 
+LOOKUPS = {"taxonomy": "lookup_titles", "aliases": "lookup_org_aliases"}
+
+
+def lookup_dependencies(kb, config) -> dict[str, dict[str, str]]:
+    """What the field types of titles and organisations take from the knowledge base's usable lookups."""
+    return {d: LookupCache(kb, t, config.engagement.id, config.knowledge_base.use_promoted_only).lookup() for d, t in LOOKUPS.items()}
+
+
 def standardize_values(values: DataFrame, kind: str, client: LLMClient, cache: LookupCache, batch_size: int = 50, allowed: Iterable[str] | None = None, log: CallLog | None = None) -> dict[str, Any]:
     """Distinct values of a one-column frame: from the cache, from built-in tables, else from the client in batches.
 

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weldrow.config import EngagementConfig
-from weldrow.fields import FieldType
+from weldrow.fields import FieldType, get_field_type
+from weldrow.ingest import lookup_dependencies
 from weldrow.operators import cluster as C
 from weldrow.operators import model as M
 from weldrow.operators.blocking import deterministic_pairs, usable_rules
@@ -95,6 +96,26 @@ class LinkageResult:
         return paths | {"stats": out / "run_stats.json"}
 
 
+def cluster_at(edges: DataFrame, records: DataFrame, profile: EntityProfile, threshold: float, limits: C.ClusterQA) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(membership, split log, crosswalk) of the edges at or above ``threshold``."""
+    strong = edges.where(F.col("match_probability") >= threshold)
+    membership, log = C.split_violating_clusters(cut(C.cluster_edges(strong, records, threshold)), strong, records, profile.hard_constraints)
+    return membership, log, cut(C.build_crosswalk(C.cluster_metrics(membership, strong, limits), records))
+
+
+def lookup_effect(records: DataFrame, fields: Mapping[str, FieldSpec], deps: Mapping[str, Any]) -> dict[str, int]:
+    """For each field that takes a lookup: its entries, and the records whose standard form they changed; one pass over the records."""
+    takes = {"org_name": ("aliases", "clean"), "job_title": ("taxonomy", "canonical")}
+    used = {n: takes[s.field_type] for n, s in fields.items() if s.field_type in takes and deps.get(takes[s.field_type][0])}
+    if not used:
+        return {}
+    plain, counts = records.select(*used, *[F.col(f"{n}_{part}").alias(f"_held_{n}") for n, (_, part) in used.items()]), []
+    for n, (_, part) in used.items():
+        plain = get_field_type(fields[n].field_type).apply(plain, n)
+        counts.append(F.count_if(~F.nullif(F.col(f"{n}_{part}"), F.lit("")).eqNullSafe(F.nullif(F.col(f"_held_{n}"), F.lit("")))).alias(f"{n}_{part}_changed_by_lookup"))
+    return plain.agg(*counts).first().asDict() | {f"{n}_lookup_rows": len(deps[d]) for n, (d, _) in used.items()}
+
+
 def link(records: DataFrame, profile: EntityProfile, fields: Mapping[str, FieldSpec], types: Mapping[str, FieldType], config: EngagementConfig, known_m: Mapping | None = None) -> LinkageResult:
     """From standardised records to the published tables."""
     began, mc, th = time.time(), config.matching, config.thresholds
@@ -116,12 +137,9 @@ def link(records: DataFrame, profile: EntityProfile, fields: Mapping[str, FieldS
     edges, rejected = C.build_edges(predictions, certain, profile.pair_constraints)
     edges, conflicting = C.split_conflicts(edges, records, profile.hard_constraints)
     edges = cut(edges)
-    membership = cut(C.cluster_edges(edges, records, th.cluster))
-    strong = edges.where(F.col("match_probability") >= th.cluster)
-    membership, log = C.split_violating_clusters(membership, strong, records, profile.hard_constraints)
     qa = config.cluster_qa
     limits = C.ClusterQA(profile.max_cluster_size if qa.max_cluster_size is None else qa.max_cluster_size, profile.min_edge_density if qa.min_edge_density is None else qa.min_edge_density)
-    crosswalk = cut(C.build_crosswalk(C.cluster_metrics(membership, strong, limits), records))
+    membership, log, crosswalk = cluster_at(edges, records, profile, th.cluster, limits)
     if config.reference.hub_link_via_nppes:
         crosswalk = C.hub_entity_ids(crosswalk)
     accepted = C.check_pairs(predictions, profile.pair_constraints).where(F.size("failed_constraints") == 0)
@@ -141,7 +159,8 @@ def run_linkage(spark: SparkSession, config: EngagementConfig, dependencies: Map
     """A whole run from configuration: sources, references, enrichment before any linking, linking, knowledge base."""
     profile = get_profile(config.profile)
     fields = effective_fields(profile, config)
-    deps, ref = dict(dependencies or {}), config.reference
+    ref = config.reference
+    deps = (lookup_dependencies(knowledge_base, config) if knowledge_base is not None else {}) | dict(dependencies or {})
     if ref.zip_centroids_path:
         deps["zip_centroids"] = ZipCentroids(spark, config.resolve(ref.zip_centroids_path)).frame
     narrowed = profile.with_fields(fields)
@@ -160,6 +179,7 @@ def run_linkage(spark: SparkSession, config: EngagementConfig, dependencies: Map
     if knowledge_base is not None and config.matching.load_m_from_knowledge_base:
         known = knowledge_base.m_probabilities(profile.name, narrowed.schema_hash(), config.engagement.id, source_types, config.knowledge_base.use_promoted_only)
     result = link(records, narrowed, fields, types, config, known)
+    result.stats |= lookup_effect(records, fields, deps)
     if knowledge_base is not None and kb_write:
         if config.matching.save_m_to_knowledge_base:
             knowledge_base.save_model_params(result.model.m, profile.name, narrowed.schema_hash(), config.engagement.id, source_types, config.engagement.reuse_scope)

@@ -63,10 +63,11 @@ def explanation(result, out_path: str | Path, sample: int = 25, seed: int = 0) -
     return Path(out_path)
 
 
-def evaluation(summary: Sequence[dict], curves: dict[str, Sequence[dict]], cluster: dict, out_path: str | Path) -> Path:
-    """Scores by method, precision-recall curves and the clusters' figures."""
+def evaluation(summary: Sequence[dict], curves: dict[str, Sequence[dict]], cluster: dict, out_path: str | Path, more: dict[str, Sequence[dict]] | None = None) -> Path:
+    """Scores by method, precision-recall curves, the clusters' figures and further tables by title."""
     chart = line_chart({n: [(r["recall"], r["precision"]) for r in c] for n, c in curves.items()}, "recall", "precision")
     body = tiles([("cluster F1", cluster.get("f1"), ""), ("exact entities", cluster.get("entity_exact_match_rate"), "")]) + "<h2>Methods</h2>" + table(summary) + chart
+    body += "".join(f"<h2>{esc(title)}</h2>{table(rows)}" for title, rows in (more or {}).items())
     Path(out_path).write_text(page("Evaluation", "", body), encoding="utf-8")
     return Path(out_path)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weldrow.functions.text import npi_reason
-from weldrow.sources.tables import file_snapshot_id, read_table
+from weldrow.sources.tables import file_snapshot_id, read_table, table_files
 
 # Headers of the registry's public file and the columns they become.
 REGISTRY_COLUMNS = {
@@ -65,7 +65,7 @@ class ReferenceSource:
         return self.load().persist()
 
     def snapshot(self) -> SnapshotInfo:
-        return SnapshotInfo(self.name, file_snapshot_id(self.path), str(self.path), self.license, self.license_url, self.frame.count(), os.path.getsize(self.path))
+        return SnapshotInfo(self.name, file_snapshot_id(self.path), str(self.path), self.license, self.license_url, self.frame.count(), sum(os.path.getsize(p) for p in table_files(self.path)))
 
 
 class Registry(ReferenceSource):

@@ -51,10 +51,17 @@ def load_source(spark: SparkSession, source: SourceConfig, config: EngagementCon
     return apply_mapping(raw, mapping, source.name, source.record_id_column, profile)
 
 
+def table_files(path: str | Path) -> list[Path]:
+    """The local file, or the part files of a folder that Spark wrote."""
+    path = Path(path)
+    return sorted(p for p in path.rglob("*") if p.is_file() and p.name[0] not in "._") if path.is_dir() else [path]
+
+
 def file_snapshot_id(path: str | Path) -> str:
-    """First 16 hexadecimal digits of the SHA-256 of a local file."""
+    """First 16 hexadecimal digits of the SHA-256 of a local table: one file, or the part files by name."""
     digest = hashlib.sha256()
-    with open(path, "rb") as f:
-        while block := f.read(1 << 20):
-            digest.update(block)
+    for part in table_files(path):
+        with open(part, "rb") as f:
+            while block := f.read(1 << 20):
+                digest.update(block)
     return digest.hexdigest()[:16]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weldrow.functions.constants import NICKNAMES
 from weldrow.functions.text import lookup, npi_check_digit
 from weldrow.operators.evaluate import true_pairs
+from weldrow.sources.reference import REGISTRY_COLUMNS
 
 FIRST = sorted({f for formal in NICKNAMES.values() for f in formal})
 LAST = ("SMITH", "JOHNSON", "WILLIAMS", "BROWN", "JONES", "GARCIA", "MILLER", "DAVIS", "RODRIGUEZ", "MARTINEZ", "HERNANDEZ", "LOPEZ", "WILSON", "ANDERSON", "THOMAS", "TAYLOR", "MOORE", "JACKSON", "MARTIN", "LEE", "PEREZ", "THOMPSON", "WHITE", "HARRIS", "CLARK", "LEWIS", "ROBINSON", "WALKER", "YOUNG", "ALLEN", "KING", "WRIGHT", "SCOTT", "NGUYEN", "HILL", "FLORES", "GREEN", "ADAMS", "NELSON", "BAKER")
@@ -69,13 +70,16 @@ class SyntheticDataset:
     centroids: DataFrame
 
     def write(self, out_dir: str | Path) -> dict[str, str]:
-        """One CSV folder a table."""
+        """One CSV folder a table; the registry under the headers of its public file."""
         out = {}
-        for n in ("entities", "roster", "claims", "truth", "registry", "centroids"):
+        for n, df in {"entities": self.entities, "roster": self.roster, "claims": self.claims, "truth": self.truth, "nppes_sample": self.registry_file(), "zip_centroids": self.centroids}.items():
             out[n] = f"{out_dir}/{n}.csv"
-            getattr(self, n).write.mode("overwrite").csv(out[n], header=True)
+            df.write.mode("overwrite").csv(out[n], header=True)
         return out
 
+    def registry_file(self) -> DataFrame:
+        return self.registry.select(*[F.col(c).alias(h) for h, c in REGISTRY_COLUMNS.items() if c in self.registry.columns])
+
     def true_pairs(self, cross_source_only: bool = False) -> DataFrame:
         pairs = true_pairs(self.truth)
         parts = F.split("key", r"\|\|")
@@ -123,7 +127,7 @@ def _entities(spark: SparkSession, c: SyntheticConfig) -> DataFrame:
         "street": F.concat_ws(" ", (o.whole("number", 900) + 100).cast("string"), o.of("street", STREETS), F.lit("Street")), "city": F.col("_t")[0], "state": F.col("_t")[1],
         "zip": F.concat(F.col("_t")[2], F.lpad(o.whole("zip", 100).cast("string"), 2, "0")), "phone": F.concat(F.lit("312"), F.lit("555"), F.lpad(o.whole("phone", 10_000).cast("string"), 4, "0")),
         "email": F.concat(F.lower("first"), F.lit("."), F.lower("last"), F.lit("@org"), F.col("o").cast("string"), F.lit(".example.org")),
-        "entity_id": F.format_string("E%06d", F.col("k")),
+        "ein": F.concat(F.lit("36"), F.lpad(o.whole("ein", 10_000_000).cast("string"), 7, "0")), "entity_id": F.format_string("E%06d", F.col("k")),
     }).drop("_t")
 
 
@@ -164,8 +168,16 @@ def generate(spark: SparkSession, config: SyntheticConfig = SyntheticConfig()) -
     e = _entities(spark, config)
     roster, claims = _view(e, config, "roster", config.inclusion_roster), _view(e, config, "claims", config.inclusion_claims)
     truth = [v.select(F.lit(s).alias("source"), F.col("record_id").alias("source_record_id"), "entity_id", "noise_ops") for s, v in (("roster", roster), ("claims", claims))]
-    shown = roster.select("record_id", F.concat_ws(" ", "first", "middle", "last").alias("provider_name"), F.col("org").alias("practice"), F.concat(F.col("street"), F.lit(", "), F.col("city"), F.lit(", "), F.col("state"), F.coalesce(F.concat(F.lit(" "), "zip"), F.lit(""))).alias("address"), "npi", "phone", "email", "title")
-    billed = claims.select("record_id", F.col("last").alias("rendering_last"), F.col("first").alias("rendering_first"), F.col("middle").alias("rendering_mi"), F.col("org").alias("billing_name"), F.col("street").alias("addr_line1"), "city", "state", "zip", F.col("phone").alias("phone_number"), F.col("npi").alias("rendering_npi"))
+    at = F.concat(F.col("street"), F.lit(", "), F.col("city"), F.lit(", "), F.col("state"), F.coalesce(F.concat(F.lit(" "), "zip"), F.lit("")))
+    dashed = F.concat(F.substring("ein", 1, 2), F.lit("-"), F.substring("ein", 3, 7))
+    shown = roster.select(
+        F.col("record_id").alias("Provider ID"), F.concat_ws(" ", "first", "middle", "last").alias("Provider Name"), F.lit("MD").alias("Credentials"), F.col("npi").alias("NPI"),
+        F.col("org").alias("Practice Name"), at.alias("Practice Address"), F.col("phone").alias("Phone"), F.col("email").alias("Email"), F.col("title").alias("Job Title"), dashed.alias("Tax ID"),
+    )
+    billed = claims.select(
+        F.col("record_id").alias("rendering_prov_id"), F.col("last").alias("prov_last_name"), F.col("first").alias("prov_first_name"), F.col("middle").alias("prov_middle"), F.col("npi").alias("rendering_npi"),
+        F.col("org").alias("billing_org"), F.col("ein").alias("billing_ein"), F.col("street").alias("addr_line1"), "city", "state", "zip", F.col("phone").alias("phone_number"), F.col("title").alias("specialty"),
+    )
     extra = _entities(spark, SyntheticConfig(config.n_distractors, config.n_orgs, seed=config.seed + 1)).withColumn("npi", npi(F.concat(F.lit("x"), "k"), "1"))
     person = lambda x: x.select("npi", F.lit(1).alias("entity_type"), "first", "middle", "last", F.col("org").alias("org_name"), "street", "city", "state", "zip", "phone")
     groups = e.select(F.col("group_npi").alias("npi"), F.lit(2).alias("entity_type"), *[F.lit(None).cast("string").alias(x) for x in ("first", "middle", "last")], F.col("org").alias("org_name"), "street", "city", "state", "zip", "phone").dropDuplicates(["npi"])
