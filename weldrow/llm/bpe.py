@@ -17,8 +17,8 @@ from weldrow.llm.sampling import about
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Most frequent words whose ids are looked up and not folded again; documents that they are counted in, at most about.
 FREQUENT, COUNTED_ROWS = 200_000, 20_000
-#: Entries in a bucket of a literal map, at most on average.
-PER_BUCKET = 4
+#: Slots of a literal map for each entry, at least; slots looked at for a key, at most.
+ROOM, PROBES = 2, 12
 #: Characters of a plan's text that are kept.
 PLAN_TEXT = 4096
 #: Base of a pair's key; the rank of no pair.
@@ -36,31 +36,52 @@ def pattern(pat: str) -> str:
 
 
 class LiteralMap:
-    """Keys (text or whole numbers) to values as one literal: buckets of keys ``k`` and values ``v``, found by xxhash64.
+    """Keys (text or whole numbers) to values as one literal: open addressing by xxhash64, in arrays ``k`` and ``v``.
 
-    (Spark searches a literal map from end to end.) ``get`` takes the literal bound to a lambda variable, so that a
-    plan holds it once.
+    (Spark searches a literal map from end to end, and ``array_position`` leaves its loop by an exception where it is
+    interpreted, as it is in lambdas.) ``get`` takes the literal bound to a lambda variable, so that a plan holds it once.
     """
 
     def __init__(self, entries: dict, key_kind: str, kind: str) -> None:
-        self.mask = (1 << max(0, (len(entries) // PER_BUCKET).bit_length())) - 1
-        buckets: list[dict] = [{"k": [], "v": []} for _ in range(self.mask + 1)]
-        for k, v in entries.items():
-            raw = k.encode() if isinstance(k, str) else k.to_bytes(8, "little", signed=True)
-            at = buckets[xxhash.xxh64_intdigest(raw, 42) & self.mask]
-            at["k"].append(k)
-            at["v"].append(v)
-        self.literal = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))), f"array<struct<k:array<{key_kind}>,v:array<{kind}>>>")
+        hashes = {k: xxhash.xxh64_intdigest(k.encode() if isinstance(k, str) else k.to_bytes(8, "little", signed=True), 42) for k in entries}
+        slots = 1 << max(1, (ROOM * len(entries)).bit_length())
+        while not self._placed(entries, hashes, slots):
+            slots *= 2
+        self.literal = F.from_json(F.lit(json.dumps({"k": self.k, "v": self.v}, ensure_ascii=False, separators=(",", ":"))), f"struct<k:array<{key_kind}>,v:array<{kind}>>")
+        del self.k, self.v
+
+    def _placed(self, entries: dict, hashes: dict, slots: int) -> bool:
+        """In the order of their homes, entries lie as near to these as can be; false if one is PROBES away."""
+        self.mask, self.probes, free = slots - 1, 1, 0
+        self.k, self.v = [None] * (slots + PROBES), [None] * (slots + PROBES)
+        for key in sorted(entries, key=lambda k: hashes[k] & self.mask):
+            home = hashes[key] & self.mask
+            at = max(home, free)
+            if at - home >= PROBES:
+                return False
+            self.k[at], self.v[at], self.probes, free = key, entries[key], max(self.probes, at - home + 1), at + 1
+        return True
 
     def get(self, bound: Column, key: Column) -> Column:
         """The value, or null."""
-        at = F.get(bound, F.xxhash64(key).bitwiseAND(F.lit(self.mask)).cast("int"))
-        return let(at, lambda bucket: F.get(bucket["v"], F.array_position(bucket["k"], key).cast("int") - 1))
+
+        def probed(key: Column, home: Column) -> Column:
+            out = F.when(key.isNull(), None)
+            for i in range(self.probes):
+                held = F.get(bound["k"], home + i if i else home)
+                out = out.when(held == key, F.get(bound["v"], home + i if i else home)).when(held.isNull(), None)
+            return out
+
+        return let(key, lambda key: let(F.xxhash64(key).bitwiseAND(F.lit(self.mask)).cast("int"), lambda home: probed(key, home)))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once; lambdas share no common subexpressions."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """``body`` of a value that is computed once; lambdas share no common subexpressions.
+
+    A fold over nothing hands the value on as it is; an item taken from a transformed array would be copied, and its
+    type worked out through all of ``body``, for every value.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
 
 
 class Codec:
@@ -80,56 +101,55 @@ class Codec:
                 if a is not None and b is not None:
                     pairs[a * PAIR + b] = rank
         self.pairs = LiteralMap(pairs, "bigint", "int")
-        self.bytes = LiteralMap({f"{i:02X}": ranks[bytes([i])] for i in range(256)}, "string", "int")
         self.whole = LiteralMap({k.hex().upper(): v for k, v in ranks.items() if len(k) > 1}, "string", "int")
         by_id = [b""] * (max(ranks.values()) + 1)
         for k, v in ranks.items():
             by_id[v] = k
-        listed = lambda xs: F.from_json(F.lit(json.dumps([x.hex().upper() for x in xs], separators=(",", ":"))), "array<string>")
-        self.pieces, self.le = listed(by_id), listed([i.to_bytes(4, "little") for i in range(len(by_id))])
+        listed = lambda xs, kind="string": F.from_json(F.lit(json.dumps(xs, separators=(",", ":"))), f"array<{kind}>")
+        self.pieces, self.le = listed([x.hex().upper() for x in by_id]), listed([i.to_bytes(4, "little").hex().upper() for i in range(len(by_id))])
+        self.bytes = listed([ranks[bytes([i])] for i in range(256)], "int")
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pat), F.lit(0))
 
     def bound(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
         """``body`` of an expression builder word -> ids, with the vocabulary's literals bound once around it."""
-        return let(self.pairs.literal, lambda pairs: let(self.bytes.literal, lambda by: let(self.whole.literal, lambda whole: body(lambda word: self._word_ids(word, pairs, by, whole)))))
+        return let(self.pairs.literal, lambda pairs: let(self.bytes, lambda by: let(self.whole.literal, lambda whole: body(lambda word: self._word_ids(word, pairs, by, whole)))))
 
     def _word_ids(self, word: Column, pairs: Column, by: Column, whole: Column) -> Column:
         """Ids of one word: a token as it is, else its bytes with merges folded in.
 
         State: ids of the pieces, for each the id that it and its successor make (NONE if none), and the least of
-        those. Each step merges the leftmost pair of least rank, as long as there is one; only the two pairs beside it
-        are looked up again.
+        those with its place in the lower half of a long, so that of equal ones the leftmost is the least. Each step
+        merges that pair, as long as there is one; only the two pairs beside it are looked up again.
         """
 
         def made(a: Column, b: Column) -> Column:
             return F.coalesce(self.pairs.get(pairs, a.cast("long") * PAIR + b), F.lit(NONE))
 
         def state(p: Column, ranks: Column) -> Column:
-            return let(ranks, lambda r: F.struct(p.alias("p"), r.alias("r"), F.array_min(r).alias("m")))
+            return let(ranks, lambda r: F.struct(p.alias("p"), r.alias("r"), F.array_min(F.transform(r, lambda x, i: F.shiftleft(x.cast("long"), 32).bitwiseOR(i))).alias("m")))
 
-        def merged(s: Column, at: Column) -> Column:
-            p, r, m = s["p"], s["r"], s["m"]
-            beside = F.when(at > 1, F.array(made(F.get(p, at - 2), m), made(m, F.get(p, at + 1)))).otherwise(F.array(made(m, F.get(p, at + 1))))
-            long = F.size(p)
-            pieces = F.concat(F.slice(p, F.lit(1), at - 1), F.array(m), F.slice(p, at + 2, long))
-            return state(pieces, F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), beside, F.slice(r, at + 2, long)))
+        def merged(p: Column, r: Column, m: Column, at: Column) -> Column:
+            n = F.size(p)
+            beside = F.when(at > 0, F.array(made(F.get(p, at - 1), m), made(m, F.get(p, at + 2)))).otherwise(F.array(made(m, F.get(p, at + 2))))
+            pieces = F.concat(F.slice(p, F.lit(1), at), F.array(m), F.slice(p, at + 3, n))
+            return state(pieces, F.concat(F.slice(r, F.lit(1), F.greatest(at - 1, F.lit(0))), beside, F.slice(r, at + 3, n)))
 
         def step(s: Column, _: Column) -> Column:
-            return F.when(s["m"] == NONE, s).otherwise(let(F.array_position(s["r"], s["m"]).cast("int"), lambda at: merged(s, at)))
+            least = F.shiftright(s["m"], 32).cast("int")
+            return F.when(least == NONE, s).otherwise(let(least, lambda m: let(s["m"].bitwiseAND(F.lit(PAIR - 1)).cast("int"), lambda at: merged(s["p"], s["r"], m, at))))
 
-        def folded(hexed: Column) -> Column:
-            n = (F.length(hexed) / 2).cast("int")
-            each = F.sequence(F.lit(0), n - 1)
-            single = F.transform(each, lambda i: self.bytes.get(by, F.substring(hexed, i * 2 + 1, F.lit(2))))
-            start = let(single, lambda p: state(p, F.transform(p, lambda x, i: made(x, F.get(p, i + 1)))))
-            return F.aggregate(each, start, step)["p"]
+        def folded(raw: Column) -> Column:
+            # one character of this charset for each byte
+            single = F.transform(F.split(F.decode(raw, "ISO-8859-1"), ""), lambda x: F.get(by, F.ascii(x)))
+            start = lambda p: state(p, F.transform(p, lambda x, i: made(x, F.get(p, i + 1))))
+            return let(single, lambda p: F.aggregate(F.slice(p, F.lit(2), F.size(p)), start(p), step)["p"])
 
-        def ids(hexed: Column) -> Column:
-            return let(self.whole.get(whole, hexed), lambda got: F.when(got.isNotNull(), F.array(got)).otherwise(folded(hexed)))
+        def ids(raw: Column) -> Column:
+            return let(self.whole.get(whole, F.hex(raw)), lambda got: F.when(got.isNotNull(), F.array(got)).otherwise(folded(raw)))
 
-        return let(F.hex(F.encode(word, "utf-8")), ids)
+        return let(F.encode(word, "utf-8"), ids)
 
     def word_ids(self, word: Column) -> Column:
         return self.bound(lambda ids: ids(word))
