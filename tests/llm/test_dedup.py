@@ -111,6 +111,16 @@ def test_near_groups_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values())) and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_near_groups_ignore_how_often_a_line_repeats(spark):
+    rows = []
+    for g in range(8):
+        body, line = " ".join(f"g{g}w{i}" for i in range(1000)), " ".join(f"g{g}line{i}" for i in range(12))
+        rows += [(10 * g, f"{body} {line}"), (10 * g + 1, f"{body} " + " ".join([line] * 50))]
+    assert max((simhash.fingerprint(rows[2 * g][1], 5) ^ simhash.fingerprint(rows[2 * g + 1][1], 5)).bit_count() for g in range(8)) > 24
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs(spark, rows)).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows}
+
+
 @pytest.mark.parametrize("block", [1024, 4])
 def test_vectors_against_brute_force(spark, block):
     rng = np.random.default_rng(7)

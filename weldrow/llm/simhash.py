@@ -169,8 +169,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 #: Near duplicates of whole documents: words of a shingle, least Jaccard similarity of two shingle sets.
 NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
-#: Bits within which pairs of that similarity lie (10 of 64 are expected), and the size of a tree there.
-NEAR_RADIUS, NEAR_TREE = 24, 1024
+#: Rows of a block of a shard.
+NEAR_BLOCK = 1024
 #: Minima in a shard key, and keys a document: a pair at 0.8 misses every common shard once in 200 times.
 KEY_MINIMA, KEYS = 4, 10
 
@@ -179,18 +179,18 @@ def _multipliers(n: int) -> np.ndarray:
     return np.random.default_rng(5).integers(1, 1 << 63, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def sketch(text: str | None, words: int, multipliers: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """(fingerprint, shard keys, sorted distinct 32-bit shingle hashes) of a whole text."""
+def sketch(text: str | None, words: int, multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shard keys, sorted distinct 32-bit shingle hashes) of a whole text."""
     hashes = shingle_hashes(text, words)
     if not len(hashes):
-        return 0, np.zeros(KEYS, np.int64), np.empty(0, np.uint32)
+        return np.zeros(KEYS, np.int64), np.empty(0, np.uint32)
     distinct = np.unique(hashes)
     least = np.array([(distinct * m).min() for m in multipliers]).reshape(KEYS, KEY_MINIMA)
     keys = np.arange(KEYS, dtype=np.uint64)
     for k in range(KEY_MINIMA):
         keys = (keys ^ least[:, k]) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(29)
-    return bits_of(hashes), keys.view(np.int64), np.unique((distinct >> np.uint64(16)).astype(np.uint32))
+    return keys.view(np.int64), np.unique((distinct >> np.uint64(16)).astype(np.uint32))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -201,36 +201,22 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _verified_links(similarity: float, radius: int):
-    """Over sorted block pairs: documents whose sets are similar, found through the block's BK-tree."""
+def _verified_links(similarity: float):
+    """Over sorted block pairs: documents whose sets are similar. Every pair is decided by its sets."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in iter_runs(batches, ["key", "_i", "_j"], lists=("shingles",)):
             n = len(run["id"])
             if n < 2:
                 continue
-            fps, shingles = run["fp"].view(np.uint64).tolist(), run["shingles"]
-            sets, tree, homes = Sets(n), BKTree(), []
+            sets, shingles = Sets(n), run["shingles"]
             within_one = run["_i"][0] == run["_j"][0]
-            indexed = range(n) if within_one else np.flatnonzero(run["_block"] == run["_i"][0]).tolist()
-
-            def link(x: int) -> None:
-                for at in tree.within(fps[x], radius):  # noqa: B023
-                    for y in homes[at]:  # noqa: B023
-                        small, large = sorted((len(shingles[x]), len(shingles[y])))  # noqa: B023
-                        if small >= similarity * large and sets.find(x) != sets.find(y) and jaccard(shingles[x], shingles[y]) >= similarity:  # noqa: B023
-                            sets.union(x, y)  # noqa: B023
-
-            for x in indexed:
-                if within_one:
-                    link(x)
-                at = tree.add(fps[x])
-                if at == len(homes):
-                    homes.append([])
-                homes[at].append(x)
-            if not within_one:
-                for x in np.flatnonzero(run["_block"] == run["_j"][0]).tolist():
-                    link(x)
+            first = range(n) if within_one else np.flatnonzero(run["_block"] == run["_i"][0]).tolist()
+            for x in first if within_one else np.flatnonzero(run["_block"] == run["_j"][0]).tolist():
+                for y in range(x) if within_one else first:
+                    small, large = sorted((len(shingles[x]), len(shingles[y])))
+                    if small >= similarity * large and sets.find(x) != sets.find(y) and jaccard(shingles[x], shingles[y]) >= similarity:
+                        sets.union(x, y)
             ids = run["id"]
             rows = [(ids[x], ids[top]) for x in range(n) if (top := sets.find(x)) != x]
             if rows:
@@ -239,13 +225,13 @@ def _verified_links(similarity: float, radius: int):
     return scan
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """``doc_id, component_id`` of the documents that have a near duplicate.
 
     Near duplicates share at least ``similarity`` of the union of their word shingles. That is many differing bits of
     64, more than bit blocks can find; so here a shard is the documents with a common key of minima over their
-    shingles. Its BK-tree gives those within ``radius`` bits, and whole shingle sets decide. Documents that are
-    joined already are not compared again, and one edge a document leaves the shard. Identifiers are whole numbers;
+    shingles. There whole shingle sets decide about every pair, whatever its fingerprints: these count repeats, the
+    sets do not. Documents that are joined already are not compared again, and one edge a document leaves the shard. Identifiers are whole numbers;
     rows without one are left alone.
     """
     multipliers = _multipliers(KEYS * KEY_MINIMA)
@@ -254,16 +240,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for whole in batches:
             for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
                 got = [sketch(t.as_py(), words, multipliers) for t in b.column(1)]
-                fps = np.array([g[0] for g in got], dtype=np.uint64).view(np.int64)
-                lists = [pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2].view(np.int32) for g in got], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *lists], names=["id", "fp", "keys", "shingles"])
+                lists = [pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1].view(np.int32) for g in got], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["id", "keys", "shingles"])
 
     slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = written(slim.mapInArrow(scan, "id long, fp long, keys array<long>, shingles array<int>"))
-    dealt = in_blocks(sketches.select("id", "fp", F.explode("keys").alias("key")), ["key"], "id", NEAR_TREE)
+    sketches = written(slim.mapInArrow(scan, "id long, keys array<long>, shingles array<int>"))
+    dealt = in_blocks(sketches.select("id", F.explode("keys").alias("key")), ["key"], "id", NEAR_BLOCK)
     on = ["key", "_i", "_j"]
-    rows = dealt.join(sketches.select("id", "shingles"), "id").select(*on, "_block", "id", "fp", "shingles")
-    edges = rows.repartition(*on).sortWithinPartitions(*on, "id").mapInArrow(_verified_links(similarity, radius), "a long, b long")
+    rows = dealt.join(sketches.select("id", "shingles"), "id").select(*on, "_block", "id", "shingles")
+    edges = rows.repartition(*on).sortWithinPartitions(*on, "id").mapInArrow(_verified_links(similarity), "a long, b long")
     return connected_components(edges, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
