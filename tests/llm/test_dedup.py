@@ -121,6 +121,17 @@ def test_near_groups_ignore_how_often_a_line_repeats(spark):
     assert got == {i: i // 10 * 10 for i, _ in rows}
 
 
+@pytest.mark.parametrize("block", [1024, 4])
+def test_near_groups_miss_no_pair_at_the_threshold(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "NEAR_BLOCK", block)
+    rows = []
+    for g in range(1000):
+        w = [f"g{g}w{i}" for i in range(94)]  # 90 shingles each, 80 of 100 in common
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join([*w[:20], "x", *w[21:60], "y", *w[61:]]))]
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs(spark, rows)).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows}
+
+
 @pytest.mark.parametrize("block", [1024, 4])
 def test_vectors_against_brute_force(spark, block):
     rng = np.random.default_rng(7)

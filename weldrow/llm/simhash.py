@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weldrow.llm.blocks import in_blocks
 from weldrow.llm.runs import Sets, iter_runs
+from weldrow.llm.sampling import about
 from weldrow.operators.components import connected_components
 from weldrow.session import cut, written
 
@@ -169,87 +171,150 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 #: Near duplicates of whole documents: words of a shingle, least Jaccard similarity of two shingle sets.
 NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
-#: Rows of a block of a shard.
-NEAR_BLOCK = 1024
-#: Minima in a shard key, and keys a document: a pair at 0.8 misses every common shard once in 200 times.
-KEY_MINIMA, KEYS = 4, 10
+#: Rows of a block of a shard; bits of a parity sketch.
+NEAR_BLOCK, PARITY = 1024, 512
+#: Documents in which frequent shingles are counted, at most about, and in how many of them such a shingle is. Both
+#: only order the shingles: every order gives the same links.
+ORDER_ROWS, FREQUENT = 20_000, 4
+#: Stands for the shingles of a document without words.
+NO_WORDS = 0
 
 
-def _multipliers(n: int) -> np.ndarray:
-    return np.random.default_rng(5).integers(1, 1 << 63, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def shingle_set(text: str | None, words: int = NEAR_WORDS) -> np.ndarray:
+    """Sorted distinct shingle hashes of a whole text."""
+    return np.unique(shingle_hashes(text, words))
 
 
-def sketch(text: str | None, words: int, multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shard keys, sorted distinct 32-bit shingle hashes) of a whole text."""
-    hashes = shingle_hashes(text, words)
-    if not len(hashes):
-        return np.zeros(KEYS, np.int64), np.empty(0, np.uint32)
-    distinct = np.unique(hashes)
-    least = np.array([(distinct * m).min() for m in multipliers]).reshape(KEYS, KEY_MINIMA)
-    keys = np.arange(KEYS, dtype=np.uint64)
-    for k in range(KEY_MINIMA):
-        keys = (keys ^ least[:, k]) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(29)
-    return keys.view(np.int64), np.unique((distinct >> np.uint64(16)).astype(np.uint32))
+def prefix(shingles: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles in the order (count in the sample, hash), as many as may not all be missing in a similar set.
+
+    Sets at ``similarity`` or more share at least that part of either. So at most n - ceil(similarity * n) of a set's n
+    shingles are missing in the other, and the first common one in any order that all sets keep is among the first
+    n - ceil(similarity * n) + 1 of both.
+    """
+    n = len(shingles)
+    if not n:
+        return np.array([NO_WORDS], np.uint64)
+    count = np.zeros(n, np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        count = np.where(frequent[at] == shingles, counts[at], 0)
+    return shingles[np.argsort(count, kind="stable")[: n - math.ceil(similarity * n - 1e-9) + 1]]
+
+
+def parity(shingles: np.ndarray) -> bytes:
+    """PARITY bits: whether an odd number of shingles falls on each. Two sets differ in at least as many shingles as bits."""
+    return np.packbits(np.bincount((shingles % np.uint64(PARITY)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1).tobytes()
+
 
+def may_be_near(n_a: np.ndarray, n_b: np.ndarray, odd_a: np.ndarray, odd_b: np.ndarray, similarity: float) -> np.ndarray:
+    """False only for pairs that sizes and parities show to be less similar: similar sets differ in at most (1 - s) / (1 + s) of the sum of their sizes."""
+    differ = np.bitwise_count(odd_a ^ odd_b).sum(axis=1, dtype=np.int64)
+    return (np.minimum(n_a, n_b) >= similarity * np.maximum(n_a, n_b) - 1e-9) & (differ <= (1 - similarity) / (1 + similarity) * (n_a + n_b) + 1e-9)
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sorted sets; 1 for two empty ones."""
-    if not len(a) and not len(b):
-        return 1.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
 
+def _odd(parities: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(parities), np.uint64).reshape(-1, PARITY // 64)
 
-def _verified_links(similarity: float):
-    """Over sorted block pairs: documents whose sets are similar. Every pair is decided by its sets."""
+
+def _across(similarity: float):
+    """Over sorted block pairs: pairs of different components that sizes and parities do not rule out."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in iter_runs(batches, ["key", "_i", "_j"], lists=("shingles",)):
-            n = len(run["id"])
-            if n < 2:
+        for run in iter_runs(batches, ["key", "_i", "_j"]):
+            ids, group, size = run["id"], run["component"], run["size"]
+            if (group == group[0]).all():
                 continue
-            sets, shingles = Sets(n), run["shingles"]
-            within_one = run["_i"][0] == run["_j"][0]
-            first = range(n) if within_one else np.flatnonzero(run["_block"] == run["_i"][0]).tolist()
-            for x in first if within_one else np.flatnonzero(run["_block"] == run["_j"][0]).tolist():
-                for y in range(x) if within_one else first:
-                    small, large = sorted((len(shingles[x]), len(shingles[y])))
-                    if small >= similarity * large and sets.find(x) != sets.find(y) and jaccard(shingles[x], shingles[y]) >= similarity:
-                        sets.union(x, y)
-            ids = run["id"]
-            rows = [(ids[x], ids[top]) for x in range(n) if (top := sets.find(x)) != x]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b"])
+            odd, within_one = _odd(run["odd"]), run["_i"][0] == run["_j"][0]
+            left = np.arange(len(ids)) if within_one else np.flatnonzero(run["_block"] == run["_i"][0])
+            right = left if within_one else np.flatnonzero(run["_block"] == run["_j"][0])
+            for k in range(0, len(left), 256):
+                some = left[k : k + 256]
+                apart = group[some][:, None] != group[right][None, :]
+                if within_one:
+                    apart &= some[:, None] < right[None, :]
+                x, y = np.nonzero(apart)
+                x, y = some[x], right[y]
+                fine = may_be_near(size[x], size[y], odd[x], odd[y], similarity)
+                if fine.any():
+                    a, b = ids[x[fine]], ids[y[fine]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return scan
 
 
+def _frequent(slim: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that FREQUENT documents of a sample share, sorted, and in how many each is."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                shingles, n = np.unique(np.concatenate([shingle_set(t.as_py(), words) for t in b.column(1)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+    got = about(slim, F.col("id"), ORDER_ROWS).mapInArrow(scan, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).toArrow()
+    shingles, counts = (got.column(i).to_numpy() for i in range(2))
+    order = np.argsort(shingles.view(np.uint64))
+    return shingles.view(np.uint64)[order], counts[order]
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """``doc_id, component_id`` of the documents that have a near duplicate.
 
-    Near duplicates share at least ``similarity`` of the union of their word shingles. That is many differing bits of
-    64, more than bit blocks can find; so here a shard is the documents with a common key of minima over their
-    shingles. There whole shingle sets decide about every pair, whatever its fingerprints: these count repeats, the
-    sets do not. Documents that are joined already are not compared again, and one edge a document leaves the shard. Identifiers are whole numbers;
-    rows without one are left alone.
+    Near duplicates share at least ``similarity`` of the union of their word shingles (64-bit hashes). None is missed:
+    similar sets have a shingle in common among the first of both (:func:`prefix`, rare ones first). First every
+    document is compared with documents that lead the keys it shares, so that large groups become one component
+    without all their pairs; then all pairs of a key that are in different components still. Sizes and parities rule
+    out most, whole shingle sets decide the rest. Identifiers are whole numbers; rows without one are left alone.
     """
-    multipliers = _multipliers(KEYS * KEY_MINIMA)
+    slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    order = slim.sparkSession.sparkContext.broadcast(_frequent(slim, words))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                got = [sketch(t.as_py(), words, multipliers) for t in b.column(1)]
-                lists = [pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1].view(np.int32) for g in got], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["id", "keys", "shingles"])
+                sets = [shingle_set(t.as_py(), words) for t in b.column(1)]
+                keys = [prefix(s, similarity, *order.value).view(np.int64) for s in sets]
+                cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", "size", "odd", "keys"])
 
-    slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = written(slim.mapInArrow(scan, "id long, keys array<long>, shingles array<int>"))
-    dealt = in_blocks(sketches.select("id", F.explode("keys").alias("key")), ["key"], "id", NEAR_BLOCK)
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                sets = [shingle_set(t.as_py(), words).view(np.int64) for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                a_n, b_n, a_odd, b_odd = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2, 6))
+                fine = may_be_near(a_n, b_n, _odd(a_odd), _odd(b_odd), similarity)
+                yield b.select(["a", "b"]).filter(pa.array(fine))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sets = written(slim.join(ids, "id", "left_semi").mapInArrow(whole_sets, "id long, shingles array<long>"))
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        both = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("common"))
+        return cut(both.where((F.col("n") == 0) | (F.col("common") / (F.col("n") - F.col("common")) >= similarity)).select("a", "b"))
+
+    heads = written(slim.mapInArrow(scan, "id long, size long, odd binary, keys array<long>"))
+    about_a, about_b = (heads.select(F.col("id").alias(c), F.col("size").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")) for c in "ab")
+    key = Window.partitionBy("key")
+    lead = F.min(F.struct(F.xxhash64("id", F.pmod("key", F.lit(4))).alias("h"), F.col("id").alias("lead"))).over(key)
+    rows = heads.select("id", F.explode("keys").alias("key")).withColumns({"n": F.count(F.lit(1)).over(key), "lead": lead})
+    shared = cut(rows.where("n > 1").select("key", "id", "lead.lead"))
+    led = shared.where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+    led = led.join(about_a, "a").join(about_b, "b").select("a", "b", "n_a", "n_b", "odd_a", "odd_b")
+    first = verified(led.mapInArrow(plausible, "a long, b long"))
+    joined = connected_components(first, "a", "b").select(F.col("node").alias("id"), "component")
+    rest = shared.join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    rest = rest.withColumns({"low": F.min("component").over(key), "high": F.max("component").over(key)}).where("low <> high").select("key", "id", "component")
     on = ["key", "_i", "_j"]
-    rows = dealt.join(sketches.select("id", "shingles"), "id").select(*on, "_block", "id", "shingles")
-    edges = rows.repartition(*on).sortWithinPartitions(*on, "id").mapInArrow(_verified_links(similarity), "a long, b long")
-    return connected_components(edges, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    dealt = in_blocks(cut(rest), ["key"], "id", NEAR_BLOCK).join(heads.select("id", "size", "odd"), "id").select(*on, "_block", "id", "component", "size", "odd")
+    second = verified(dealt.repartition(*on).sortWithinPartitions(*on, "id").mapInArrow(_across(similarity), "a long, b long").distinct())
+    return connected_components(first.unionAll(second), "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY) -> DataFrame:
