@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from weldrow.catalog import document_links
 from weldrow.config import ClusterQAConfig, EngagementConfig, SchemaMapping, SourceConfig, Thresholds
 from weldrow.fields import FieldType, get_field_type, list_field_types, register_field_type
 from weldrow.operators import cluster as C
@@ -112,6 +113,16 @@ def test_split_reaches_over_hops_and_breaks_ties(spark):
     assert (row.n_records, row.n_subclusters, row.n_multi_hop_assignments, row.n_ties, row.n_singletons) == (7, 3, 1, 1, 1)
 
 
+def test_documents_are_linked_by_whole_texts(spark):
+    words = [f"w{i}" for i in range(200)]
+    body, other = " ".join(words), " ".join(f"v{i}" for i in range(200))
+    head = "one opening that a hundred pages share word for word before anything of their own"
+    rows = [(1, body), (2, f"Another beginning: {body}"), (3, body.upper() + "!"), (4, f"{head} {other}"), (5, f"{head} " + " ".join(reversed(words))), (6, None), (7, "...")]
+    links = document_links(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.node: r.component for r in connected_components(links, "a", "z").collect()}
+    assert {i: got.get(i, i) for i, _ in rows} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7}
+
+
 def test_cluster_metrics_flags(spark):
     member = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "a"), ("z", "z")], "unique_id string, cluster_id string")
     edges = spark.createDataFrame([("a", "b", 0.99), ("b", "c", 0.96)], EDGES)

@@ -22,7 +22,7 @@ from weldrow.operators.blocking import candidate_pairs, deterministic_pairs, rul
 from weldrow.operators.compare import Comparison, exact, gammas, missing, reversed_columns, similar
 from weldrow.operators.components import connected_components
 from weldrow.profiles import PROVIDER, BlockingRule, DeterministicRule, Guard, HardConstraint, PairConstraint
-from weldrow.session import cut
+from weldrow.session import cut, written
 from weldrow.sources.reference import enrich, hub_frame
 from weldrow.sources.tables import apply_mapping
 
@@ -600,17 +600,24 @@ m AS (SELECT a AS doc_id, min(z) AS cluster_id FROM r GROUP BY 1)
 SELECT doc_id, cluster_id, 'ENT' || lpad((dense_rank() OVER (ORDER BY cluster_id))::VARCHAR, 6, '0') AS entity_id FROM m"""
 
 
+def document_links(docs):
+    """``a, z``: links that join documents of one cleaned text, and of texts whose sets of five-word shingles have Jaccard similarity 0.8 at least."""
+    from weldrow.llm.simhash import near_groups
+
+    t = docs.select("doc_id", T.basic_clean(F.col("text")).alias("t")).where("t <> ''")
+    # equal texts are one class, so copies are linked by a star and only different texts are compared
+    t = written(t.withColumn("digest", F.sha2("t", 256)))
+    classes = cut(t.groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    texts = t.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "t")
+    near = near_groups(texts, "doc_id", "t").select(F.col("doc_id").alias("a"), F.col("component_id").alias("z"))
+    return near.unionAll(t.select("doc_id", "digest").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("z")))
+
+
 @query(NEAR_SQL)
 def crosswalk_documents(spark, sf_dir):
-    """Documents whose beginnings agree: block on 24 cleaned letters, compare 64, cluster, number."""
+    """Documents whose whole cleaned texts are near copies: clean, block on shingles, compare, cluster, number."""
     docs = table(spark, sf_dir, "documents")
-    t = docs.select("doc_id", T.basic_clean(F.col("text")).alias("t")).where("t <> ''").select("doc_id", F.substring("t", 1, 24).alias("block"), F.substring("t", 1, 64).alias("head"))
-    # equal heads are one class, so copies are linked by a star and only different heads are compared
-    classes = cut(t.groupBy("block", "head").agg(F.min("doc_id").alias("rep")))
-    a, z = classes.selectExpr("block", "head as ha", "rep as a"), classes.selectExpr("block", "head as hz", "rep as z")
-    near = a.join(z, "block").where("a < z").where(T.jaro_winkler(F.col("ha"), F.col("hz")) >= 0.92).select("a", "z")
-    same = t.join(classes, ["block", "head"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("z"))
-    labels = connected_components(near.unionAll(same), "a", "z").select(F.col("node").alias("doc_id"), "component")
+    labels = connected_components(document_links(docs), "a", "z").select(F.col("node").alias("doc_id"), "component")
     member = docs.select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("cluster_id"))
     member = cut(member)
     ranked = C._rank(member.select("cluster_id").distinct(), "cluster_id", "_k")
