@@ -50,6 +50,15 @@ def test_ranks_follow_links(spark):
     assert got[("trust", "good")] > got[("trust", "a")] > got[("trust", "b")] > 0 and got[("distrust", "spam2")] > 0 and ("trust", "spam") not in got
 
 
+def test_distrust_reaches_along_long_chains(spark):
+    page = lambda i, to: (i, f"http://h{i}.xx/p", f'<a href="http://{to}/">x</a>')
+    rows = [(0, "http://bad.org/es/1", ""), page(1, "bad.org"), *[page(i, f"h{i - 1}.xx") for i in range(2, 21)]]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].verdict == "block" for i in range(21))
+    want = [url_filter.ONE * 0.15 * 0.85**i for i in range(21)]  # a chain's personalised PageRank
+    assert all(abs(got[i].distrust - want[i]) <= url_filter.ONE * 2e-6 for i in range(21))
+
+
 def test_quality_on_held_out_documents(spark):
     d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = quality.score(d, quality.fit(d, labels)).join(labels, "doc_id").where("held_out").toPandas()
