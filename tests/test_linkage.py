@@ -123,6 +123,21 @@ def test_documents_are_linked_by_whole_texts(spark):
     assert {i: got.get(i, i) for i, _ in rows} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7}
 
 
+def test_split_follows_chains_of_any_length(spark):
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    names = [f"r{i:03d}" for i in range(1, 106)]
+    chain = ["a", *names]
+    member = spark.createDataFrame([(x, "a") for x in [*chain, "z"]], "unique_id string, cluster_id string")
+    edges = spark.createDataFrame([*[(x, y, 0.9) for x, y in zip(chain, names, strict=False)], ("a", "z", 0.6)], EDGES)
+    recs = spark.createDataFrame([("a", "1"), ("z", "2"), *[(x, None) for x in names]], "unique_id string, npi string")
+    out, log = C.split_violating_clusters(member, edges, recs, [HardConstraint("npi")])
+    got, row = out.collect(), log.first()
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert {r.unique_id: r.cluster_id for r in got} == {**dict.fromkeys(chain, "a#1"), "z": "a#2"}
+    assert row.n_singletons == 0 and row.passes == 105
+
+
 def test_cluster_metrics_flags(spark):
     member = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "a"), ("z", "z")], "unique_id string, cluster_id string")
     edges = spark.createDataFrame([("a", "b", 0.99), ("b", "c", 0.96)], EDGES)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,7 +71,7 @@ def cluster_edges(edges: DataFrame, records: DataFrame, threshold: float) -> Dat
 _LOG = "constraint string, original_cluster string, n_records long, n_subclusters long, n_multi_hop_assignments long, n_ties long, n_singletons long, passes long"
 
 
-def split_violating_clusters(membership: DataFrame, edges: DataFrame, records: DataFrame, constraints: Sequence[HardConstraint], max_passes: int = 100) -> tuple[DataFrame, DataFrame]:
+def split_violating_clusters(membership: DataFrame, edges: DataFrame, records: DataFrame, constraints: Sequence[HardConstraint]) -> tuple[DataFrame, DataFrame]:
     """Clusters that hold several values of a constrained column are taken apart; returns (membership, log).
 
     Every record with a value seeds the part ``<cluster>#<value>``. In each pass the others join the part behind their
@@ -90,7 +91,7 @@ def split_violating_clusters(membership: DataFrame, edges: DataFrame, records: D
         ends = ends.unionAll(ends.select(F.col("b").alias("a"), F.col("a").alias("b"), "match_probability"))
         near = rows.select(F.col("unique_id").alias("a"), F.col("cluster_id").alias("ca"))
         ends = cut(ends.join(near, "a").join(near.select(F.col("a").alias("b"), F.col("ca").alias("cb")), "b").where("ca = cb").select("a", "b", "match_probability"))
-        for k in range(1, max_passes + 1):
+        for k in count(1):  # each pass that goes on assigns a record at least
             placed = rows.where("part is not null").select(F.col("unique_id").alias("b"), F.col("part").alias("target"))
             free = rows.where("part is null").select(F.col("unique_id").alias("a"))
             best = ends.join(free, "a").join(placed, "b").groupBy("a", "match_probability").agg(F.min("target").alias("target"), (F.min("target") != F.max("target")).cast("int").alias("tied"))
