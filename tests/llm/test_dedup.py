@@ -155,3 +155,16 @@ def test_vectors_against_brute_force(spark, block):
     for i in (300, 301, 302, 303, 304, 305):
         assert got[i].n_links == 0 and got[i].component_id == i and got[i].kept
     assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.8, 0.9])
+def test_vector_tables_keep_their_recall_off_centre(mean):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((4000, 64))
+    x = vectors.unit(mean * np.eye(64)[0] + np.sqrt(1 - mean**2) * x / np.linalg.norm(x, axis=1, keepdims=True))
+    coder = vectors.learn(x[:2000], 100_000)
+    a = x[2000:]
+    off = rng.standard_normal(a.shape)
+    off -= (off * a).sum(axis=1, keepdims=True) * a
+    b = 0.98 * a + np.sqrt(1 - 0.98**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    assert (coder.keys(a) == coder.keys(b)).any(axis=1).mean() >= 0.975

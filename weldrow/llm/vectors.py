@@ -25,6 +25,8 @@ TRAIN_ROWS, LEARN_ROUNDS = 20_000, 30
 RECALL = 0.99
 #: Substring bits at least and at most; rows of a bucket compared at once.
 LEAST_BITS, MOST_BITS, BLOCK = 8, 30, 1024
+#: Pairs at the threshold that are made for a label, about; tables of a substring length at most.
+PAIRS, MOST_TABLES = 1000, 64
 
 
 @dataclass
@@ -55,22 +57,50 @@ def itq(x: np.ndarray, rounds: int, rng: np.random.Generator) -> np.ndarray:
     return axes @ r
 
 
-def learn(x: np.ndarray, rows: int, cosine: float = COSINE, recall: float = RECALL) -> Coder:
-    """A coder for ``rows`` vectors under one label like those in ``x`` (unit length).
+def partners(x: np.ndarray, cosine: float, rng: np.random.Generator) -> np.ndarray:
+    """For each unit vector another at ``cosine``, in a random direction."""
+    off = rng.standard_normal(x.shape)
+    off -= (off * x).sum(axis=1, keepdims=True) * x
+    size = np.sqrt((off * off).sum(axis=1, keepdims=True))
+    y = cosine * x + math.sqrt(1 - cosine * cosine) * off / np.where(size > 1e-9, size, np.inf)
+    return y / np.sqrt((y * y).sum(axis=1, keepdims=True))
 
-    Substrings are as long as leaves a bucket about one vector. A bit differs with probability angle / pi, so the
-    number of tables follows from the substring length and the recall that is asked for at the threshold. A rotation
-    gives dim // length disjoint substrings; as many rotations are learned as the tables need.
+
+def learn(x: np.ndarray, rows: int, cosine: float = COSINE, recall: float = RECALL, labels: np.ndarray | None = None) -> Coder:
+    """A coder for ``rows`` vectors under one label like those in ``x`` (unit length, of ``labels``).
+
+    Substrings are as long as leaves a bucket about one vector. How often a bit differs depends on where the vectors
+    lie about the centre, so the number of tables is measured: pairs at the threshold are made around the vectors of
+    each label, and tables are added until those of every label meet in some table as often as ``recall`` asks for. A
+    rotation gives dim // length disjoint substrings. Where MOST_TABLES do not do it, substrings become shorter; of no
+    bits, all vectors meet.
     """
     dim = x.shape[1]
-    bits = min(dim, max(LEAST_BITS, min(MOST_BITS, math.ceil(math.log2(max(2, rows))))))
-    same = (1 - math.acos(cosine) / math.pi) ** bits
-    count = max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
-    each = max(1, dim // bits)
     rng, centre = np.random.default_rng(7), x.mean(axis=0)
-    rotations = [itq(x - centre, LEARN_ROUNDS, rng) for _ in range(-(-count // each))]
-    tables = [(r, np.arange(k * bits, (k + 1) * bits)) for r in range(len(rotations)) for k in range(each)][:count]
-    return Coder(centre, rotations, tables)
+    _, group = np.unique(np.zeros(len(x), np.int64) if labels is None else labels, return_inverse=True)
+    # rotations fit the vectors that they are learned from, so pairs are made around others, where a label has them
+    apart = np.arange(len(x)) % 2 == 1
+    tried = apart | ~np.isin(group, group[apart])
+    learned = x[~apart] - centre
+    need = PAIRS // np.bincount(group[tried])[group[tried]] + 1
+    left, owner = np.repeat(x[tried], need, axis=0), np.repeat(group[tried], need)
+    right = partners(left, cosine, rng)
+    size = np.bincount(owner)
+    rotations: list[np.ndarray] = []
+    for bits in range(min(dim, max(LEAST_BITS, min(MOST_BITS, math.ceil(math.log2(max(2, rows)))))), 0, -1):
+        tables, met = [], np.zeros(len(left), dtype=bool)
+        while len(tables) < MOST_TABLES:
+            r, k = divmod(len(tables), dim // bits)
+            if r == len(rotations):
+                rotations.append(itq(learned, LEARN_ROUNDS, rng))
+            cols = np.arange(k * bits, (k + 1) * bits)
+            tables.append((r, cols))
+            axes = rotations[r][:, cols]
+            rest = np.flatnonzero(~met)
+            met[rest] = ((((left[rest] - centre) @ axes) > 0) == (((right[rest] - centre) @ axes) > 0)).all(axis=1)
+            if (np.bincount(owner, weights=met) >= recall * size).all():
+                return Coder(centre, rotations[: r + 1], tables)
+    return Coder(centre, [np.eye(dim)], [(0, np.arange(0))])
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -148,12 +178,12 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     good = slim.where("fine")
     classes = cut(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     sizes = classes.groupBy("label", F.size("embedding").alias("dim")).count().groupBy("dim").agg(F.max("count").alias("n")).collect()
-    sample = about(classes.select("embedding", "rep"), F.col("rep"), train_rows).select("embedding").toArrow().column(0)
-    sample = [x for c in sample.chunks for _, xs in _matrices(c) for x in xs]
+    sample = about(classes.select("embedding", "label", "rep"), F.col("rep"), train_rows).select("embedding", "label").toArrow()
+    sample = [(v, y) for c in sample.to_batches() for at, xs in _matrices(c.column(0)) for v, y in zip(xs, c.column(1).to_numpy()[at].tolist(), strict=True)]
     coders: dict[int, Coder] = {}
     for dim, n in sorted((r["dim"], r["n"]) for r in sizes):
-        x = [v for v in sample if len(v) == dim]
-        coders[dim] = learn(unit(np.stack(x)) if len(x) > 1 else np.eye(dim)[:1], n, cosine)
+        x = [(v, y) for v, y in sample if len(v) == dim]
+        coders[dim] = learn(unit(np.stack([v for v, _ in x])), n, cosine, labels=np.array([y for _, y in x])) if len(x) > 1 else learn(np.eye(dim)[:1], n, cosine)
     shared = slim.sparkSession.sparkContext.broadcast(coders)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
