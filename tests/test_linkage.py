@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from weldrow.catalog import document_links
+from weldrow.catalog import document_members
 from weldrow.config import ClusterQAConfig, EngagementConfig, SchemaMapping, SourceConfig, Thresholds
 from weldrow.fields import FieldType, get_field_type, list_field_types, register_field_type
 from weldrow.operators import cluster as C
@@ -102,11 +102,12 @@ def test_conflicting_edges(spark):
     assert kept.count() == 1 and dropped.first().unique_id_r == "b"
 
 
-def test_split_reaches_over_hops_and_breaks_ties(spark):
+@pytest.mark.parametrize("most", [C.IN_TASK, 0])
+def test_split_reaches_over_hops_and_breaks_ties(spark, most):
     member = spark.createDataFrame([(x, "a") for x in "abcdefg"], "unique_id string, cluster_id string")
     edges = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.8), ("d", "e", 0.7), ("a", "e", 0.7), ("d", "f", 0.99), ("a", "d", 0.5)], EDGES)
     recs = spark.createDataFrame([("a", "1"), ("d", "2"), *[(x, None) for x in "bcefg"]], "unique_id string, npi string")
-    out, log = C.split_violating_clusters(member, edges, recs, [HardConstraint("npi")])
+    out, log = C.split_violating_clusters(member, edges, recs, [HardConstraint("npi")], most)
     got = {r.unique_id: r.cluster_id for r in out.collect()}
     assert got == {"a": "a#1", "b": "a#1", "c": "a#1", "d": "a#2", "e": "a#1", "f": "a#2", "g": "a#g"}
     row = log.first()
@@ -117,25 +118,22 @@ def test_documents_are_linked_by_whole_texts(spark):
     words = [f"w{i}" for i in range(200)]
     body, other = " ".join(words), " ".join(f"v{i}" for i in range(200))
     head = "one opening that a hundred pages share word for word before anything of their own"
-    rows = [(1, body), (2, f"Another beginning: {body}"), (3, body.upper() + "!"), (4, f"{head} {other}"), (5, f"{head} " + " ".join(reversed(words))), (6, None), (7, "...")]
-    links = document_links(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {r.node: r.component for r in connected_components(links, "a", "z").collect()}
-    assert {i: got.get(i, i) for i, _ in rows} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7}
+    rows = [(1, body), (2, f"{body} end"), (3, body.upper() + "!"), (4, f"{head} {other}"), (5, f"{head} {body}"), (6, None), (7, "..."), (8, " ".join(reversed(words))), (9, f"{body} w1"), (10, "")]
+    got = {r.doc_id: r.cluster_id for r in document_members(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7, 8: 1, 9: 9, 10: 10}
 
 
-def test_split_follows_chains_of_any_length(spark):
-    partitions = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
-    names = [f"r{i:03d}" for i in range(1, 106)]
+@pytest.mark.parametrize(("hops", "most"), [(150, C.IN_TASK), (6, 0)])
+def test_split_follows_chains_of_any_length(spark, hops, most):
+    names = [f"r{i:03d}" for i in range(1, hops + 1)]
     chain = ["a", *names]
     member = spark.createDataFrame([(x, "a") for x in [*chain, "z"]], "unique_id string, cluster_id string")
     edges = spark.createDataFrame([*[(x, y, 0.9) for x, y in zip(chain, names, strict=False)], ("a", "z", 0.6)], EDGES)
     recs = spark.createDataFrame([("a", "1"), ("z", "2"), *[(x, None) for x in names]], "unique_id string, npi string")
-    out, log = C.split_violating_clusters(member, edges, recs, [HardConstraint("npi")])
+    out, log = C.split_violating_clusters(member, edges, recs, [HardConstraint("npi")], most)
     got, row = out.collect(), log.first()
-    spark.conf.set("spark.sql.shuffle.partitions", partitions)
     assert {r.unique_id: r.cluster_id for r in got} == {**dict.fromkeys(chain, "a#1"), "z": "a#2"}
-    assert row.n_singletons == 0 and row.passes == 105
+    assert row.n_singletons == 0 and row.passes == hops
 
 
 def test_cluster_metrics_flags(spark):

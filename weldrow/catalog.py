@@ -20,7 +20,6 @@ from weldrow.operators import evaluate as E
 from weldrow.operators import model as M
 from weldrow.operators.blocking import candidate_pairs, deterministic_pairs, rule_sql
 from weldrow.operators.compare import Comparison, exact, gammas, missing, reversed_columns, similar
-from weldrow.operators.components import connected_components
 from weldrow.profiles import PROVIDER, BlockingRule, DeterministicRule, Guard, HardConstraint, PairConstraint
 from weldrow.session import cut, written
 from weldrow.sources.reference import enrich, hub_frame
@@ -590,36 +589,31 @@ def column_profile(spark, sf_dir):
 
 # ---------------------------------------------------------------- documents
 
-NEAR_SQL = f"""
-WITH RECURSIVE c AS (SELECT doc_id, {CLEAN_SQL.format('text')} AS t FROM documents),
-d AS (SELECT doc_id, left(t, 24) AS block, left(t, 64) AS head FROM c WHERE t <> ''),
-e AS (SELECT a.doc_id AS a, z.doc_id AS z FROM d a JOIN d z ON a.block = z.block AND a.doc_id < z.doc_id WHERE jaro_winkler_similarity(a.head, z.head) >= 0.92),
-w AS (SELECT a, z FROM e UNION SELECT z, a FROM e),
-r(a, z) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, w.z FROM r JOIN w ON w.a = r.z),
-m AS (SELECT a AS doc_id, min(z) AS cluster_id FROM r GROUP BY 1)
+DOCUMENT_SQL = f"""
+WITH c AS (SELECT doc_id, {CLEAN_SQL.format('text')} AS t FROM documents),
+k AS (SELECT doc_id, CASE WHEN t <> '' THEN array_to_string(list_sort(string_split(t, ' ')), ' ') END AS key FROM c),
+m AS (SELECT doc_id, CASE WHEN key IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY key) END AS cluster_id FROM k)
 SELECT doc_id, cluster_id, 'ENT' || lpad((dense_rank() OVER (ORDER BY cluster_id))::VARCHAR, 6, '0') AS entity_id FROM m"""
 
 
-def document_links(docs):
-    """``a, z``: links that join documents of one cleaned text, and of texts whose sets of five-word shingles have Jaccard similarity 0.8 at least."""
-    from weldrow.llm.simhash import near_groups
+def document_members(docs: DataFrame) -> DataFrame:
+    """``doc_id, cluster_id``: documents whose whole cleaned texts have the same words, repeats included, in any order.
 
-    t = docs.select("doc_id", T.basic_clean(F.col("text")).alias("t")).where("t <> ''")
-    # equal texts are one class, so copies are linked by a star and only different texts are compared
-    t = written(t.withColumn("digest", F.sha2("t", 256)))
-    classes = cut(t.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    texts = t.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "t")
-    near = near_groups(texts, "doc_id", "t").select(F.col("doc_id").alias("a"), F.col("component_id").alias("z"))
-    return near.unionAll(t.select("doc_id", "digest").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("z")))
+    The key is a digest of all sorted words, so no part of a text is left out and a block is one cluster: records link
+    to the least identifier of their block and never to each other. Documents without words (null and empty texts, or
+    punctuation only) stand alone.
+    """
+    words = F.array_sort(F.split(T.basic_clean(F.col("text")), " "))
+    key = F.unhex(F.sha2(F.array_join(words, " "), 256))
+    keyed = written(docs.select("doc_id", F.when(F.array_join(words, "") != "", key).alias("key")))
+    blocks = keyed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
+    return cut(keyed.join(blocks, "key", "left").select("doc_id", F.coalesce("least", "doc_id").alias("cluster_id")))
 
 
-@query(NEAR_SQL)
+@query(DOCUMENT_SQL)
 def crosswalk_documents(spark, sf_dir):
-    """Documents whose whole cleaned texts are near copies: clean, block on shingles, compare, cluster, number."""
-    docs = table(spark, sf_dir, "documents")
-    labels = connected_components(document_links(docs), "a", "z").select(F.col("node").alias("doc_id"), "component")
-    member = docs.select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("cluster_id"))
-    member = cut(member)
+    """Documents of the same words: clean, block, link, number."""
+    member = document_members(table(spark, sf_dir, "documents"))
     ranked = C._rank(member.select("cluster_id").distinct(), "cluster_id", "_k")
     return member.join(ranked, "cluster_id").select("doc_id", "cluster_id", F.concat(F.lit("ENT"), F.when(F.col("_k") < 1_000_000, F.lpad(F.col("_k").cast("string"), 6, "0")).otherwise(F.col("_k").cast("string"))).alias("entity_id"))
 

@@ -7,12 +7,13 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import count
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weldrow.operators.components import connected_components
 from weldrow.profiles import HardConstraint, PairConstraint
-from weldrow.session import cut
+from weldrow.session import cut, written
 
 EDGE = ("unique_id_l", "unique_id_r", "match_probability", "link_source")
 
@@ -68,17 +69,55 @@ def cluster_edges(edges: DataFrame, records: DataFrame, threshold: float) -> Dat
     return records.select("unique_id").join(labels.withColumnRenamed("node", "unique_id"), "unique_id", "left").select("unique_id", F.coalesce("component", "unique_id").alias("cluster_id"))
 
 
+#: Edge ends of a cluster that one task may hold.
+IN_TASK = 200_000
 _LOG = "constraint string, original_cluster string, n_records long, n_subclusters long, n_multi_hop_assignments long, n_ties long, n_singletons long, passes long"
 
 
-def split_violating_clusters(membership: DataFrame, edges: DataFrame, records: DataFrame, constraints: Sequence[HardConstraint]) -> tuple[DataFrame, DataFrame]:
+def _spread(rows: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+    """One cluster's passes: every free record beside an assigned one joins the part behind its strongest edge, the first of equals."""
+    part = dict(zip(rows["unique_id"], rows["part"], strict=True))
+    tie, when = dict.fromkeys(part, 0), dict.fromkeys(part, 0)
+    near: dict[str, list[tuple[str, float]]] = {}
+    for a, b, p in zip(ends["a"], ends["b"], ends["match_probability"], strict=True):
+        near.setdefault(a, []).append((b, p))
+    fresh = [x for x, at in part.items() if at is not None]
+    for k in count(1):
+        new = {}
+        for x in {b for a in fresh for b, _ in near.get(a, ()) if part[b] is None}:
+            seen = [(p, part[b]) for b, p in near[x] if part[b] is not None]
+            best = {at for p, at in seen if p == max(seen)[0]}
+            new[x], tie[x], when[x] = min(best), int(len(best) > 1), k
+        if not new:
+            break
+        part |= new
+        fresh = list(new)
+    ids = list(part)
+    return pd.DataFrame({"unique_id": ids, "cluster_id": rows["cluster_id"].iloc[0], "part": [part[x] for x in ids], "pass": [when[x] for x in ids], "tie": [tie[x] for x in ids]})
+
+
+def _spread_by_joins(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """The same for clusters of any size: a pass is a join over their edges, its outcome a table, so that lineage and size estimates start anew."""
+    rows = written(rows)
+    for k in count(1):  # each pass that goes on assigns a record at least
+        placed = rows.where("part is not null").select(F.col("unique_id").alias("b"), F.col("part").alias("target"))
+        free = rows.where("part is null").select(F.col("unique_id").alias("a"))
+        best = ends.join(free, "a").join(placed, "b").groupBy("a", "match_probability").agg(F.min("target").alias("target"), (F.min("target") != F.max("target")).cast("int").alias("tied"))
+        best = best.groupBy(F.col("a").alias("unique_id")).agg(F.max_by(F.struct("target", "tied"), "match_probability").alias("best"))
+        found = F.col("part").isNull() & F.col("best").isNotNull()
+        rows = written(rows.join(best, "unique_id", "left").select("unique_id", "cluster_id", F.coalesce("part", "best.target").alias("part"), F.when(found, k).otherwise(F.col("pass")).alias("pass"), F.when(found, F.col("best.tied")).otherwise(F.col("tie")).alias("tie")))
+        if rows.where(F.col("pass") == k).isEmpty():
+            return rows
+
+
+def split_violating_clusters(membership: DataFrame, edges: DataFrame, records: DataFrame, constraints: Sequence[HardConstraint], most: int = IN_TASK) -> tuple[DataFrame, DataFrame]:
     """Clusters that hold several values of a constrained column are taken apart; returns (membership, log).
 
     Every record with a value seeds the part ``<cluster>#<value>``. In each pass the others join the part behind their
     strongest edge to a record that was assigned in an earlier pass; of equally strong ones, the part that sorts first.
-    Those never reached stand alone as ``<cluster>#<record>``. A pass is a join over the violating clusters' edges
-    only, so a cluster of any size is spread over tasks; passes are cut from their lineage. Constraints are applied in
-    order, the second to the outcome of the first.
+    Those never reached stand alone as ``<cluster>#<record>``. A cluster of up to ``most`` edge ends is one task's work;
+    of larger ones, a pass is a join over their edges, so that they are spread over tasks. Passes go on until one moves
+    nothing. Constraints are applied in order, the second to the outcome of the first.
     """
     logs = []
     for c in (c for c in constraints if c.column in records.columns):
@@ -90,17 +129,12 @@ def split_violating_clusters(membership: DataFrame, edges: DataFrame, records: D
         ends = edges.select(F.col("unique_id_l").alias("a"), F.col("unique_id_r").alias("b"), "match_probability")
         ends = ends.unionAll(ends.select(F.col("b").alias("a"), F.col("a").alias("b"), "match_probability"))
         near = rows.select(F.col("unique_id").alias("a"), F.col("cluster_id").alias("ca"))
-        ends = cut(ends.join(near, "a").join(near.select(F.col("a").alias("b"), F.col("ca").alias("cb")), "b").where("ca = cb").select("a", "b", "match_probability"))
-        for k in count(1):  # each pass that goes on assigns a record at least
-            placed = rows.where("part is not null").select(F.col("unique_id").alias("b"), F.col("part").alias("target"))
-            free = rows.where("part is null").select(F.col("unique_id").alias("a"))
-            best = ends.join(free, "a").join(placed, "b").groupBy("a", "match_probability").agg(F.min("target").alias("target"), (F.min("target") != F.max("target")).cast("int").alias("tied"))
-            best = best.groupBy("a").agg(F.max_by(F.struct("target", "tied"), "match_probability").alias("best"))
-            new = cut(rows.join(best.withColumnRenamed("a", "unique_id"), "unique_id", "left").select("unique_id", "cluster_id", F.coalesce("part", "best.target").alias("part"), F.when(F.col("part").isNull() & F.col("best").isNotNull(), k).otherwise(F.col("pass")).alias("pass"), F.when(F.col("part").isNull(), F.coalesce("best.tied", F.lit(0))).otherwise(F.col("tie")).alias("tie")))
-            moved = not new.where(F.col("pass") == k).isEmpty()
-            rows = new
-            if not moved:
-                break
+        ends = cut(ends.join(near, "a").join(near.select(F.col("a").alias("b"), F.col("ca").alias("cb")), "b").where("ca = cb").select(F.col("ca").alias("cluster_id"), "a", "b", "match_probability"))
+        big = ends.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select("cluster_id")
+        big = cut(big)
+        small = rows.join(big, "cluster_id", "left_anti").groupBy("cluster_id").cogroup(ends.join(big, "cluster_id", "left_anti").groupBy("cluster_id"))
+        done = small.applyInPandas(_spread, rows.schema)
+        rows = written(done if big.isEmpty() else done.unionAll(_spread_by_joins(rows.join(big, "cluster_id", "left_semi"), ends.join(big, "cluster_id", "left_semi"))))
         parts = rows.withColumn("new", F.coalesce("part", F.concat_ws("#", "cluster_id", "unique_id")))
         logs.append(
             parts.groupBy(F.lit(c.column).alias("constraint"), F.col("cluster_id").alias("original_cluster")).agg(
