@@ -152,15 +152,32 @@ def test_shuffle_is_a_permutation(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == len(rows)
 
 
-def test_bpe_equals_tiktoken_and_decodes(spark):
+def test_bpe_equals_tiktoken_and_decodes(spark, monkeypatch):
     import tiktoken
 
     path = public_tokenizers.path(bpe.VOCABULARY)
     t = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
     codec = bpe.Codec(path, public_tokenizers.PATTERN)
-    d = docs(spark, ODD)
-    out = bpe.encode(d, codec).select("doc_id", "ids", codec.decoded(F.col("ids")).alias("raw"), F.sha2(codec.little_endian(F.col("ids")), 256).alias("h")).collect()
-    want = sorted((str(i), t.encode_ordinary(x or ""), (x or "").encode()) for i, x in ODD)
-    assert sorted((str(r.doc_id), list(r.ids), bytes(r.raw)) for r in out) == want
-    assert all(r.h == hashlib.sha256(np.array(r.ids, dtype="<u4").tobytes()).hexdigest() for r in out)
+    rng = np.random.default_rng(4)
+    drawn = lambda letters, n: "".join(rng.choice(list(letters), n))
+    long = [(20, drawn("abcdefghijklmnopqrstuvwxyz", 3000)), (21, drawn("ab", 700)), (22, "ab" * 900 + "ba" * 50), (23, drawn("éàçñ日本語", 400)), (24, drawn("ACGT", 1500)), (25, "=" * 1000 + "-" * 777)]
+    rows = ODD + long
+    d = docs(spark, rows).withColumns({"folds": F.lit(1), "parts": F.lit("x"), "ids": F.lit(None).cast("int")})
+    want = sorted((str(i), t.encode_ordinary(x or ""), (x or "").encode()) for i, x in rows)
+    for most in (bpe.FREQUENT, 3):  # words looked up, and words folded
+        monkeypatch.setattr(bpe.frequent_words, "__defaults__", ("text", most))
+        out = bpe.encode(d, codec).select("doc_id", "ids", codec.decoded(F.col("ids")).alias("raw"), F.sha2(codec.little_endian(F.col("ids")), 256).alias("h")).collect()
+        assert sorted((str(r.doc_id), list(r.ids), bytes(r.raw)) for r in out) == want
+        assert all(r.h == hashlib.sha256(np.array(r.ids, dtype="<u4").tobytes()).hexdigest() for r in out)
     assert bpe.encode(docs(spark, []), codec).count() == 0
+
+
+def test_bpe_of_words_of_a_megabyte(spark):
+    import tiktoken
+
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    t = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    letters = "".join(np.random.default_rng(5).choice(list("abcdefghijklmnopqrstuvwxyz"), 1 << 20))
+    rows = [(1, letters), (2, "a" * (1 << 16))]
+    got = {r.doc_id: list(r.ids) for r in bpe.encode(docs(spark, rows), bpe.Codec(path, public_tokenizers.PATTERN)).collect()}
+    assert all(got[i] == t.encode_ordinary(x) for i, x in rows)

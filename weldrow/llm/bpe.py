@@ -4,19 +4,29 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import ahocorasick
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weldrow.llm.sampling import about
+from weldrow.session import written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Most frequent words whose ids are looked up and not folded again; documents that they are counted in, at most about.
+#: Most frequent words that are folded once for the whole corpus, at most; documents they are counted in, at most about.
 FREQUENT, COUNTED_ROWS = 200_000, 20_000
+#: Bytes of a word from which it is cut where no token can lie, and is not among the frequent ones.
+LONG = 64
+#: Bytes of a piece from which all places of the least pair are merged in one step.
+SWEPT = 256
 #: Slots of a literal map for each entry, at least; slots looked at for a key, at most.
 ROOM, PROBES = 2, 12
 #: Characters of a plan's text that are kept.
@@ -30,11 +40,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines()) if a}
 
 
-def pattern(pat: str) -> str:
-    """The split pattern for Java: ``\\s`` is Unicode white space."""
-    return "(?U)" + pat
-
-
 class LiteralMap:
     """Keys (text or whole numbers) to values as one literal: open addressing by xxhash64, in arrays ``k`` and ``v``.
 
@@ -92,8 +97,8 @@ class Codec:
     """
 
     def __init__(self, path: str, pat: str) -> None:
-        ranks = read_ranks(path)
-        self.pat = pattern(pat)
+        self.ranks = ranks = read_ranks(path)
+        self.pat = pat
         pairs = {}
         for token, rank in ranks.items():
             for k in range(1, len(token)):
@@ -101,7 +106,6 @@ class Codec:
                 if a is not None and b is not None:
                     pairs[a * PAIR + b] = rank
         self.pairs = LiteralMap(pairs, "bigint", "int")
-        self.whole = LiteralMap({k.hex().upper(): v for k, v in ranks.items() if len(k) > 1}, "string", "int")
         by_id = [b""] * (max(ranks.values()) + 1)
         for k, v in ranks.items():
             by_id[v] = k
@@ -109,26 +113,34 @@ class Codec:
         self.pieces, self.le = listed([x.hex().upper() for x in by_id]), listed([i.to_bytes(4, "little").hex().upper() for i in range(len(by_id))])
         self.bytes = listed([ranks[bytes([i])] for i in range(256)], "int")
 
-    def words(self, text: Column) -> Column:
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pat), F.lit(0))
-
     def bound(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
-        """``body`` of an expression builder word -> ids, with the vocabulary's literals bound once around it."""
-        return let(self.pairs.literal, lambda pairs: let(self.bytes, lambda by: let(self.whole.literal, lambda whole: body(lambda word: self._word_ids(word, pairs, by, whole)))))
+        """``body`` of an expression builder bytes -> ids, with the vocabulary's literals bound once around it."""
+        return let(self.pairs.literal, lambda pairs: let(self.bytes, lambda by: body(lambda raw: self._folded(raw, pairs, by))))
 
-    def _word_ids(self, word: Column, pairs: Column, by: Column, whole: Column) -> Column:
-        """Ids of one word: a token as it is, else its bytes with merges folded in.
+    def folded(self, raw: Column) -> Column:
+        """Ids of one word's bytes."""
+        return self.bound(lambda ids: ids(raw))
 
-        State: ids of the pieces, for each the id that it and its successor make (NONE if none), and the least of
-        those with its place in the lower half of a long, so that of equal ones the leftmost is the least. Each step
-        merges that pair, as long as there is one; only the two pairs beside it are looked up again.
-        """
+    def _folded(self, raw: Column, pairs: Column, by: Column) -> Column:
+        """Ids of one word: its bytes with merges folded in, the least first and of equals the leftmost."""
 
         def made(a: Column, b: Column) -> Column:
             return F.coalesce(self.pairs.get(pairs, a.cast("long") * PAIR + b), F.lit(NONE))
 
+        def least(r: Column) -> Column:
+            """Rank in the upper half of a long, place in the lower, so that of equal ranks the leftmost is the least."""
+            return F.array_min(F.transform(r, lambda x, i: F.shiftleft(x.cast("long"), 32).bitwiseOR(i)))
+
+        def ranked(p: Column) -> Column:
+            return F.transform(p, lambda x, i: made(x, F.get(p, i + 1)))
+
+        # one character of this charset for each byte
+        single = F.transform(F.split(F.decode(raw, "ISO-8859-1"), ""), lambda x: F.get(by, F.ascii(x)))
+
+        # State: ids of the pieces, for each the id that it and its successor make (NONE if none), and the least of
+        # those. Each step merges that pair, as long as there is one; only the two pairs beside it are looked up again.
         def state(p: Column, ranks: Column) -> Column:
-            return let(ranks, lambda r: F.struct(p.alias("p"), r.alias("r"), F.array_min(F.transform(r, lambda x, i: F.shiftleft(x.cast("long"), 32).bitwiseOR(i))).alias("m")))
+            return let(ranks, lambda r: F.struct(p.alias("p"), r.alias("r"), least(r).alias("m")))
 
         def merged(p: Column, r: Column, m: Column, at: Column) -> Column:
             n = F.size(p)
@@ -137,56 +149,148 @@ class Codec:
             return state(pieces, F.concat(F.slice(r, F.lit(1), F.greatest(at - 1, F.lit(0))), beside, F.slice(r, at + 3, n)))
 
         def step(s: Column, _: Column) -> Column:
-            least = F.shiftright(s["m"], 32).cast("int")
-            return F.when(least == NONE, s).otherwise(let(least, lambda m: let(s["m"].bitwiseAND(F.lit(PAIR - 1)).cast("int"), lambda at: merged(s["p"], s["r"], m, at))))
+            rank = F.shiftright(s["m"], 32).cast("int")
+            return F.when(rank == NONE, s).otherwise(let(rank, lambda m: let(s["m"].bitwiseAND(F.lit(PAIR - 1)).cast("int"), lambda at: merged(s["p"], s["r"], m, at))))
+
+        pairwise = let(single, lambda p: F.aggregate(F.slice(p, F.lit(2), F.size(p)), state(p, ranked(p)), step)["p"])
 
-        def folded(raw: Column) -> Column:
-            # one character of this charset for each byte
-            single = F.transform(F.split(F.decode(raw, "ISO-8859-1"), ""), lambda x: F.get(by, F.ascii(x)))
-            start = lambda p: state(p, F.transform(p, lambda x, i: made(x, F.get(p, i + 1))))
-            return let(single, lambda p: F.aggregate(F.slice(p, F.lit(2), F.size(p)), start(p), step)["p"])
+        # Long pieces: the state is the ids as text, and a step replaces the least pair wherever it stands. No pair
+        # that a merge makes ranks before it, as no token of a learned vocabulary comes before its parts.
+        def ids_of(text: Column) -> Column:
+            return F.split(F.substring(text, F.lit(2), F.length(text) - 2), r"\]\[").cast("array<int>")
 
-        def ids(raw: Column) -> Column:
-            return let(self.whole.get(whole, F.hex(raw)), lambda got: F.when(got.isNotNull(), F.array(got)).otherwise(folded(raw)))
+        def replaced(p: Column, m: Column, text: Column) -> Column:
+            at = m.bitwiseAND(F.lit(PAIR - 1)).cast("int")
+            pair = F.concat(F.lit("["), F.get(p, at).cast("string"), F.lit("]["), F.get(p, at + 1).cast("string"), F.lit("]"))
+            new = F.replace(text, pair, F.concat(F.lit("["), F.shiftright(m, 32).cast("string"), F.lit("]")))
+            return F.when(F.shiftright(m, 32) == NONE, F.struct(text.alias("text"), F.lit(True).alias("done"))).otherwise(F.struct(new.alias("text"), F.lit(False).alias("done")))
 
-        return let(F.encode(word, "utf-8"), ids)
+        def sweep(s: Column, _: Column) -> Column:
+            return F.when(s["done"], s).otherwise(let(ids_of(s["text"]), lambda p: let(least(ranked(p)), lambda m: replaced(p, m, s["text"]))))
 
-    def word_ids(self, word: Column) -> Column:
-        return self.bound(lambda ids: ids(word))
+        start = F.struct(F.concat(F.lit("["), F.array_join(single.cast("array<string>"), "]["), F.lit("]")).alias("text"), F.lit(False).alias("done"))
+        swept = ids_of(F.aggregate(F.sequence(F.lit(1), F.octet_length(raw)), start, sweep)["text"])
+        return F.when(F.octet_length(raw) > SWEPT, swept).otherwise(pairwise)
 
     def little_endian(self, ids: Column) -> Column:
         """The ids as unsigned 32-bit integers, lowest byte first."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.le, i)), ""))
+        return let(self.le, lambda le: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(le, i)), "")))
 
     def decoded(self, ids: Column) -> Column:
         """The pieces' bytes in a row."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
+        return let(self.pieces, lambda pieces: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")))
+
+
+class Splitter:
+    """Words of a text by the pattern, and cuts of long words, in Python workers."""
+
+    def __init__(self, pat: str, ranks: dict[bytes, int]) -> None:
+        self.pat, self.ranks = pat, ranks
+        self.words = regex.compile(pat).findall
+        self.tokens: ahocorasick.Automaton | None = None
+
+    def __reduce__(self):
+        return Splitter, (self.pat, self.ranks)
+
+    def pieces(self, raw: bytes) -> list[bytes]:
+        """A long word, cut wherever no token of the vocabulary lies across: no merge can."""
+        if self.tokens is None:
+            self.tokens = ahocorasick.Automaton()
+            for token in self.ranks:
+                if len(token) > 1:
+                    self.tokens.add_word(token.decode("latin-1"), len(token))
+            self.tokens.make_automaton()
+        across = np.zeros(len(raw) + 1, np.int64)
+        for end, size in self.tokens.iter(raw.decode("latin-1")):
+            across[end - size + 2] += 1
+            across[end + 1] -= 1
+        cuts = [0, *(np.flatnonzero(np.cumsum(across)[1 : len(raw)] == 0) + 1).tolist(), len(raw)]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def frequent_words(docs: DataFrame, codec: Codec, text_col: str = "text", most: int = FREQUENT) -> DataFrame:
-    """``word, ids`` of the corpus' most frequent words, each folded once."""
-    words = docs.select(F.explode(codec.words(F.col(text_col))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return words.orderBy(F.desc("n"), "word").limit(most).select("word", codec.word_ids(F.col("word")).alias("ids"))
+    """``word, ids`` of the corpus' most frequent words that are no tokens: at most ``most`` of at most LONG bytes, each folded once."""
+    splitter = docs.sparkSession.sparkContext.broadcast(Splitter(codec.pat, codec.ranks))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = splitter.value
+        for b in batches:
+            n = Counter(w for t in b.column(0) if t.is_valid for w in split.words(t.as_py()))
+            some = [(w, k) for w, k in n.items() if len(raw := w.encode()) <= LONG and raw not in split.ranks]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.string()), pa.array([k for _, k in some], pa.int64())], names=["word", "n"])
+
+    words = written(docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    # no sort of all words: of how many words occur how often, the least count that leaves few enough
+    left, least = most, None
+    for r in words.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        if (left := left - r["count"]) < 0:
+            break
+        least = r["n"]
+    return words.where(F.col("n") >= F.lit(least)).select("word", codec.folded(F.encode("word", "utf-8")).alias("ids"))
 
 
 def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids`` for every row, null as empty.
 
-    Words met often are folded once and their ids travel as a literal map of at most FREQUENT entries; the others are
-    folded where they stand. What is in that map changes the speed and never the ids, so its words are counted on a
-    bounded part of the documents. No row is shuffled. Repeated rows are encoded each; other columns are not read; an
-    empty table gives an empty result.
+    Arrow workers split a text into words and look up those that are tokens, and the frequent ones, whose ids were
+    folded once for all documents and are broadcast (at most FREQUENT of at most LONG bytes, counted on a bounded part of the
+    documents: what is among them changes the speed and never the ids). The others are folded where they stand, each
+    distinct one once a document. A word of over LONG bytes is cut first where no token can lie across, and of what then
+    still has over SWEPT bytes all places of a pair are merged in one step, so that words of a megabyte can be encoded.
+    No row is shuffled. Repeated rows are encoded each; other columns are not read; an empty table gives an empty
+    result. Plans hold the rank map as a literal: ``spark.sql.maxPlanStringLength`` should be small while they run.
     """
-    # plans are also kept as text, literals written out in every node; without this limit that text fills the driver
-    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
     counted = about(docs.select(id_col, text_col), F.col(id_col), COUNTED_ROWS)
-    known = LiteralMap({r["word"]: r["ids"] for r in frequent_words(counted, codec, text_col).toLocalIterator()}, "string", "array<int>")
-    words = codec.words(F.col(text_col))
-    ids = let(known.literal, lambda often: codec.bound(lambda fold: F.flatten(F.transform(words, lambda w: F.coalesce(known.get(often, w), fold(w))))))
-    return docs.select(F.col(id_col).alias("doc_id"), ids.alias("ids"))
+    got = frequent_words(counted, codec, text_col).toArrow()
+    known = {w: ids for w, ids in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)}
+    shared = docs.sparkSession.sparkContext.broadcast((Splitter(codec.pat, codec.ranks), known))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    folds = "folds array<binary>, parts array<struct<ids:array<int>,fold:int>>"
+    kind = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("fold", pa.int32())]))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each text, runs of known ids, each with the number of the piece that is to be folded after it, and those pieces."""
+        splitter, often = shared.value
+        ranks, words = splitter.ranks, splitter.words
+        known = {w: tuple(ids) for w, ids in often.items()}  # and, as they are met, tokens
+        for whole in batches:
+            for b in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
+                pieces, parts = [], []
+                for t in b.column(1):
+                    mine: dict[bytes, int] = {}
+                    runs, run = [], []
+                    for w in words(t.as_py() or ""):
+                        if (ids := known.get(w)) is None:
+                            raw = w.encode()
+                            if (rank := ranks.get(raw)) is not None:
+                                ids = known[w] = (rank,)
+                            else:
+                                for piece in splitter.pieces(raw) if len(raw) > LONG else (raw,):
+                                    if (rank := ranks.get(piece)) is not None:
+                                        run.append(rank)
+                                    else:
+                                        runs.append((run, mine.setdefault(piece, len(mine))))
+                                        run = []
+                                continue
+                        run += ids
+                    parts.append([{"ids": r, "fold": f} for r, f in [*runs, (run, None)]])
+                    pieces.append(list(mine))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pieces, pa.list_(pa.binary())), pa.array(parts, kind)], names=["doc_id", "folds", "parts"])
+
+    rows = slim.mapInArrow(split, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, {folds}")
+    none = F.array().cast("array<int>")
+    joined = lambda done: F.flatten(F.transform("parts", lambda p: F.concat(p["ids"], F.coalesce(F.get(done, p["fold"]), none))))
+    ids = codec.bound(lambda fold: let(F.transform("folds", fold), joined))
+    return rows.select("doc_id", ids.alias("ids"))
 
 
 def op9_folded_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of every document's ids and of the bytes that they decode to."""
     codec = Codec(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    # plans are also kept as text, literals written out in every node; without this limit that text fills the driver
+    before = spark.conf.get("spark.sql.maxPlanStringLength")
+    spark.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
     out = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), codec)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(codec.little_endian(F.col("ids")), 256).alias("ids_sha256"), F.sha2(codec.decoded(F.col("ids")), 256).alias("decoded_sha256"))
+    done = written(out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(codec.little_endian(F.col("ids")), 256).alias("ids_sha256"), F.sha2(codec.decoded(F.col("ids")), 256).alias("decoded_sha256")))
+    spark.conf.set("spark.sql.maxPlanStringLength", before)
+    return done
