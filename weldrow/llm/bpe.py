@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -13,7 +14,6 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +25,16 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 FREQUENT, COUNTED_ROWS = 200_000, 20_000
 #: Bytes of a word from which it is cut where no token can lie, and is not among the frequent ones.
 LONG = 64
+#: Units between spaces whose ids a worker remembers, at most, of at most LONG letters.
+UNITS = 1 << 17
 #: Bytes of a piece from which all places of the least pair are merged in one step.
 SWEPT = 256
-#: Slots of a literal map for each entry, at least; slots looked at for a key, at most.
-ROOM, PROBES = 2, 12
+#: Starts of a row that are tried at once when a pair map is laid out.
+FITTED = 4096
 #: Characters of a plan's text that are kept.
 PLAN_TEXT = 4096
-#: Base of a pair's key; the rank of no pair.
-PAIR, NONE = 1 << 32, 2**31 - 1
+#: The rank of no pair.
+NONE = 2**31 - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,44 +42,41 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines()) if a}
 
 
-class LiteralMap:
-    """Keys (text or whole numbers) to values as one literal: open addressing by xxhash64, in arrays ``k`` and ``v``.
+class PairMap:
+    """Two whole numbers to a third as literals: the second is a place in the first one's row, and rows lie across each other.
 
-    (Spark searches a literal map from end to end, and ``array_position`` leaves its loop by an exception where it is
-    interpreted, as it is in lambdas.) ``get`` takes the literal bound to a lambda variable, so that a plan holds it once.
+    ``row[a] + b`` is the place of pair (a, b); ``left`` there is a, and ``made`` the value, if the pair is in the map. So a
+    lookup is one probe. (Spark searches a literal map from end to end.) ``get`` takes the literal bound to a lambda
+    variable, so that a plan holds it once.
     """
 
-    def __init__(self, entries: dict, key_kind: str, kind: str) -> None:
-        hashes = {k: xxhash.xxh64_intdigest(k.encode() if isinstance(k, str) else k.to_bytes(8, "little", signed=True), 42) for k in entries}
-        slots = 1 << max(1, (ROOM * len(entries)).bit_length())
-        while not self._placed(entries, hashes, slots):
-            slots *= 2
-        self.literal = F.from_json(F.lit(json.dumps({"k": self.k, "v": self.v}, ensure_ascii=False, separators=(",", ":"))), f"struct<k:array<{key_kind}>,v:array<{kind}>>")
-        del self.k, self.v
-
-    def _placed(self, entries: dict, hashes: dict, slots: int) -> bool:
-        """In the order of their homes, entries lie as near to these as can be; false if one is PROBES away."""
-        self.mask, self.probes, free = slots - 1, 1, 0
-        self.k, self.v = [None] * (slots + PROBES), [None] * (slots + PROBES)
-        for key in sorted(entries, key=lambda k: hashes[k] & self.mask):
-            home = hashes[key] & self.mask
-            at = max(home, free)
-            if at - home >= PROBES:
-                return False
-            self.k[at], self.v[at], self.probes, free = key, entries[key], max(self.probes, at - home + 1), at + 1
-        return True
-
-    def get(self, bound: Column, key: Column) -> Column:
-        """The value, or null."""
-
-        def probed(key: Column, home: Column) -> Column:
-            out = F.when(key.isNull(), None)
-            for i in range(self.probes):
-                held = F.get(bound["k"], home + i if i else home)
-                out = out.when(held == key, F.get(bound["v"], home + i if i else home)).when(held.isNull(), None)
-            return out
-
-        return let(key, lambda key: let(F.xxhash64(key).bitwiseAND(F.lit(self.mask)).cast("int"), lambda home: probed(key, home)))
+    def __init__(self, rows: dict[int, dict[int, int]]) -> None:
+        span = 1 << max(10, (2 * sum(map(len, rows.values()))).bit_length())
+        width = max((max(r) for r in rows.values()), default=0) + 1
+        left, made, start = np.full(span + width, -1), np.zeros(span + width, np.int64), np.zeros(max(rows, default=0) + 1, np.int64)
+        base = 0
+        for a, row in sorted(rows.items(), key=lambda r: -len(r[1])):
+            cols, tried = np.fromiter(row, np.int64, len(row)), 0
+            while True:  # the next start from which all of the row's places are free
+                fits = np.arange(base, min(base + FITTED, span))
+                for c in cols.tolist():
+                    fits = fits[left[fits + c] < 0]
+                    if not len(fits):
+                        break
+                if len(fits):
+                    break
+                base, tried = (base + FITTED) % span, tried + FITTED
+                if tried > span:
+                    raise ValueError("pairs do not fit their table")
+            start[a], base = fits[0], int(fits[0])
+            left[start[a] + cols], made[start[a] + cols] = a, np.fromiter(row.values(), np.int64, len(row))
+        held = {"row": start.tolist(), "left": left.tolist(), "made": made.tolist()}
+        self.literal = F.from_json(F.lit(json.dumps(held, separators=(",", ":"))), "struct<row:array<int>,left:array<int>,made:array<int>>")
+
+    @staticmethod
+    def get(bound: Column, a: Column, b: Column) -> Column:
+        """The value, or NONE."""
+        return let(F.get(bound["row"], a) + b, lambda at: F.when(F.get(bound["left"], at) == a, F.get(bound["made"], at)).otherwise(NONE))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -89,6 +88,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
 
 
+class ByteIds:
+    """The ids of every word's single bytes, for Python workers."""
+
+    def __init__(self, ids: np.ndarray) -> None:
+        self.ids = ids
+
+    def __call__(self, words: list[bytes]) -> pa.ListArray:
+        ends = np.cumsum([0, *map(len, words)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(self.ids[np.frombuffer(b"".join(words), np.uint8)]))
+
+
 class Codec:
     """Encoding and decoding expressions for one vocabulary.
 
@@ -99,78 +109,63 @@ class Codec:
     def __init__(self, path: str, pat: str) -> None:
         self.ranks = ranks = read_ranks(path)
         self.pat = pat
-        pairs = {}
+        pairs: dict[int, dict[int, int]] = {}
         for token, rank in ranks.items():
             for k in range(1, len(token)):
                 a, b = ranks.get(token[:k]), ranks.get(token[k:])
                 if a is not None and b is not None:
-                    pairs[a * PAIR + b] = rank
-        self.pairs = LiteralMap(pairs, "bigint", "int")
+                    pairs.setdefault(a, {})[b] = rank
+        self.pairs = PairMap(pairs)
         by_id = [b""] * (max(ranks.values()) + 1)
         for k, v in ranks.items():
             by_id[v] = k
         listed = lambda xs, kind="string": F.from_json(F.lit(json.dumps(xs, separators=(",", ":"))), f"array<{kind}>")
         self.pieces, self.le = listed([x.hex().upper() for x in by_id]), listed([i.to_bytes(4, "little").hex().upper() for i in range(len(by_id))])
-        self.bytes = listed([ranks[bytes([i])] for i in range(256)], "int")
+        self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
 
     def bound(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
-        """``body`` of an expression builder bytes -> ids, with the vocabulary's literals bound once around it."""
-        return let(self.pairs.literal, lambda pairs: let(self.bytes, lambda by: body(lambda raw: self._folded(raw, pairs, by))))
+        """``body`` of an expression builder ids of single bytes -> ids, with the rank map bound once around it."""
+        return let(self.pairs.literal, lambda pairs: body(lambda single: self._folded(single, pairs)))
 
-    def folded(self, raw: Column) -> Column:
-        """Ids of one word's bytes."""
-        return self.bound(lambda ids: ids(raw))
-
-    def _folded(self, raw: Column, pairs: Column, by: Column) -> Column:
-        """Ids of one word: its bytes with merges folded in, the least first and of equals the leftmost."""
+    def _folded(self, single: Column, pairs: Column) -> Column:
+        """Ids of one word from those of its bytes, with merges folded in: the least first and of equals the leftmost."""
 
         def made(a: Column, b: Column) -> Column:
-            return F.coalesce(self.pairs.get(pairs, a.cast("long") * PAIR + b), F.lit(NONE))
-
-        def least(r: Column) -> Column:
-            """Rank in the upper half of a long, place in the lower, so that of equal ranks the leftmost is the least."""
-            return F.array_min(F.transform(r, lambda x, i: F.shiftleft(x.cast("long"), 32).bitwiseOR(i)))
+            return self.pairs.get(pairs, a, b)
 
         def ranked(p: Column) -> Column:
             return F.transform(p, lambda x, i: made(x, F.get(p, i + 1)))
 
-        # one character of this charset for each byte
-        single = F.transform(F.split(F.decode(raw, "ISO-8859-1"), ""), lambda x: F.get(by, F.ascii(x)))
-
-        # State: ids of the pieces, for each the id that it and its successor make (NONE if none), and the least of
-        # those. Each step merges that pair, as long as there is one; only the two pairs beside it are looked up again.
-        def state(p: Column, ranks: Column) -> Column:
-            return let(ranks, lambda r: F.struct(p.alias("p"), r.alias("r"), least(r).alias("m")))
-
+        # State: ids of the pieces, and for each the id that it and its successor make (NONE if none). Each step merges
+        # the least pair, as long as there is one; only the two pairs beside it are looked up again.
         def merged(p: Column, r: Column, m: Column, at: Column) -> Column:
             n = F.size(p)
             beside = F.when(at > 0, F.array(made(F.get(p, at - 1), m), made(m, F.get(p, at + 2)))).otherwise(F.array(made(m, F.get(p, at + 2))))
             pieces = F.concat(F.slice(p, F.lit(1), at), F.array(m), F.slice(p, at + 3, n))
-            return state(pieces, F.concat(F.slice(r, F.lit(1), F.greatest(at - 1, F.lit(0))), beside, F.slice(r, at + 3, n)))
+            return F.struct(pieces.alias("p"), F.concat(F.slice(r, F.lit(1), F.greatest(at - 1, F.lit(0))), beside, F.slice(r, at + 3, n)).alias("r"))
 
         def step(s: Column, _: Column) -> Column:
-            rank = F.shiftright(s["m"], 32).cast("int")
-            return F.when(rank == NONE, s).otherwise(let(rank, lambda m: let(s["m"].bitwiseAND(F.lit(PAIR - 1)).cast("int"), lambda at: merged(s["p"], s["r"], m, at))))
+            return let(F.array_min(s["r"]), lambda m: F.when(m == NONE, s).otherwise(let(F.array_position(s["r"], m).cast("int") - 1, lambda at: merged(s["p"], s["r"], m, at))))
 
-        pairwise = let(single, lambda p: F.aggregate(F.slice(p, F.lit(2), F.size(p)), state(p, ranked(p)), step)["p"])
+        pairwise = let(single, lambda p: F.aggregate(F.slice(p, F.lit(2), F.size(p)), F.struct(p.alias("p"), ranked(p).alias("r")), step)["p"])
 
         # Long pieces: the state is the ids as text, and a step replaces the least pair wherever it stands. No pair
         # that a merge makes ranks before it, as no token of a learned vocabulary comes before its parts.
         def ids_of(text: Column) -> Column:
             return F.split(F.substring(text, F.lit(2), F.length(text) - 2), r"\]\[").cast("array<int>")
 
-        def replaced(p: Column, m: Column, text: Column) -> Column:
-            at = m.bitwiseAND(F.lit(PAIR - 1)).cast("int")
+        def replaced(p: Column, r: Column, m: Column, text: Column) -> Column:
+            at = F.array_position(r, m).cast("int") - 1
             pair = F.concat(F.lit("["), F.get(p, at).cast("string"), F.lit("]["), F.get(p, at + 1).cast("string"), F.lit("]"))
-            new = F.replace(text, pair, F.concat(F.lit("["), F.shiftright(m, 32).cast("string"), F.lit("]")))
-            return F.when(F.shiftright(m, 32) == NONE, F.struct(text.alias("text"), F.lit(True).alias("done"))).otherwise(F.struct(new.alias("text"), F.lit(False).alias("done")))
+            new = F.replace(text, pair, F.concat(F.lit("["), m.cast("string"), F.lit("]")))
+            return F.struct(F.when(m == NONE, text).otherwise(new).alias("text"), (m == NONE).alias("done"))
 
         def sweep(s: Column, _: Column) -> Column:
-            return F.when(s["done"], s).otherwise(let(ids_of(s["text"]), lambda p: let(least(ranked(p)), lambda m: replaced(p, m, s["text"]))))
+            return F.when(s["done"], s).otherwise(let(ids_of(s["text"]), lambda p: let(ranked(p), lambda r: let(F.array_min(r), lambda m: replaced(p, r, m, s["text"])))))
 
         start = F.struct(F.concat(F.lit("["), F.array_join(single.cast("array<string>"), "]["), F.lit("]")).alias("text"), F.lit(False).alias("done"))
-        swept = ids_of(F.aggregate(F.sequence(F.lit(1), F.octet_length(raw)), start, sweep)["text"])
-        return F.when(F.octet_length(raw) > SWEPT, swept).otherwise(pairwise)
+        swept = ids_of(F.aggregate(single, start, sweep)["text"])
+        return F.when(F.size(single) > SWEPT, swept).otherwise(pairwise)
 
     def little_endian(self, ids: Column) -> Column:
         """The ids as unsigned 32-bit integers, lowest byte first."""
@@ -181,17 +176,28 @@ class Codec:
         return let(self.pieces, lambda pieces: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")))
 
 
+_SPACES = re.compile(r" (?:\s|\Z)")
+
+
 class Splitter:
     """Words of a text by the pattern, and cuts of long words, in Python workers."""
 
     def __init__(self, pat: str, ranks: dict[bytes, int]) -> None:
         self.pat, self.ranks = pat, ranks
         self.words = regex.compile(pat).findall
+        #: In this pattern a space is a word's first character or stands among white space.
+        self.spaced = pat == public_tokenizers.PATTERN
         self.tokens: ahocorasick.Automaton | None = None
 
     def __reduce__(self):
         return Splitter, (self.pat, self.ranks)
 
+    def units(self, text: str) -> list[str]:
+        """Stretches that split into words on their own: cut before spaces, where none is followed by white space or the end."""
+        if not self.spaced or "\0" in text or _SPACES.search(text):
+            return [text]
+        return text.replace(" ", "\0 ").split("\0")
+
     def pieces(self, raw: bytes) -> list[bytes]:
         """A long word, cut wherever no token of the vocabulary lies across: no merge can."""
         if self.tokens is None:
@@ -219,6 +225,11 @@ def frequent_words(docs: DataFrame, codec: Codec, text_col: str = "text", most:
             some = [(w, k) for w, k in n.items() if len(raw := w.encode()) <= LONG and raw not in split.ranks]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.string()), pa.array([k for _, k in some], pa.int64())], names=["word", "n"])
 
+    def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), codec_bytes([w.encode() for w in b.column(0).to_pylist()])], names=["word", "single"])
+
+    codec_bytes = ByteIds(codec.bytes)
     words = written(docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     # no sort of all words: of how many words occur how often, the least count that leaves few enough
     left, least = most, None
@@ -226,7 +237,7 @@ def frequent_words(docs: DataFrame, codec: Codec, text_col: str = "text", most:
         if (left := left - r["count"]) < 0:
             break
         least = r["n"]
-    return words.where(F.col("n") >= F.lit(least)).select("word", codec.folded(F.encode("word", "utf-8")).alias("ids"))
+    return words.where(F.col("n") >= F.lit(least)).select("word").mapInArrow(singles, "word string, single array<int>").select("word", codec.bound(lambda fold: fold(F.col("single"))).alias("ids"))
 
 
 def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,41 +256,51 @@ def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str
     known = {w: ids for w, ids in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)}
     shared = docs.sparkSession.sparkContext.broadcast((Splitter(codec.pat, codec.ranks), known))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    folds = "folds array<binary>, parts array<struct<ids:array<int>,fold:int>>"
-    kind = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("fold", pa.int32())]))
+    single = ByteIds(codec.bytes)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each text, runs of known ids, each with the number of the piece that is to be folded after it, and those pieces."""
         splitter, often = shared.value
         ranks, words = splitter.ranks, splitter.words
         known = {w: tuple(ids) for w, ids in often.items()}  # and, as they are met, tokens
+        whole_units: dict[str, tuple[int, ...]] = {}
         for whole in batches:
             for b in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
-                pieces, parts = [], []
+                pieces: list[bytes] = []
+                piece_ends, ids, run_ends, after, part_ends = [0], [], [0], [], [0]
                 for t in b.column(1):
                     mine: dict[bytes, int] = {}
-                    runs, run = [], []
-                    for w in words(t.as_py() or ""):
-                        if (ids := known.get(w)) is None:
-                            raw = w.encode()
-                            if (rank := ranks.get(raw)) is not None:
-                                ids = known[w] = (rank,)
-                            else:
-                                for piece in splitter.pieces(raw) if len(raw) > LONG else (raw,):
-                                    if (rank := ranks.get(piece)) is not None:
-                                        run.append(rank)
-                                    else:
-                                        runs.append((run, mine.setdefault(piece, len(mine))))
-                                        run = []
+                    for unit in splitter.units(t.as_py() or ""):
+                        if (got := whole_units.get(unit)) is not None:
+                            ids += got
+                            continue
+                        start, before = len(ids), len(after)
+                        for w in words(unit):
+                            if (got := known.get(w)) is not None:
+                                ids += got
                                 continue
-                        run += ids
-                    parts.append([{"ids": r, "fold": f} for r, f in [*runs, (run, None)]])
-                    pieces.append(list(mine))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pieces, pa.list_(pa.binary())), pa.array(parts, kind)], names=["doc_id", "folds", "parts"])
-
-    rows = slim.mapInArrow(split, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, {folds}")
-    none = F.array().cast("array<int>")
-    joined = lambda done: F.flatten(F.transform("parts", lambda p: F.concat(p["ids"], F.coalesce(F.get(done, p["fold"]), none))))
+                            raw = w.encode()
+                            for piece in splitter.pieces(raw) if len(raw) > LONG else (raw,):
+                                if (rank := ranks.get(piece)) is None:
+                                    run_ends.append(len(ids))
+                                    after.append(mine.setdefault(piece, len(mine)))
+                                else:
+                                    ids.append(rank)
+                                    if piece is raw:
+                                        known[w] = (rank,)
+                        if len(after) == before and len(unit) <= LONG and len(whole_units) < UNITS:
+                            whole_units[unit] = tuple(ids[start:])
+                    run_ends.append(len(ids))
+                    after.append(-1)
+                    part_ends.append(len(after))
+                    pieces += mine
+                    piece_ends.append(len(pieces))
+                runs = pa.ListArray.from_arrays(pa.array(run_ends, pa.int32()), pa.array(ids, pa.int32()))
+                parts = pa.ListArray.from_arrays(pa.array(part_ends, pa.int32()), pa.StructArray.from_arrays([runs, pa.array(after, pa.int32())], names=["ids", "fold"]))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(piece_ends, pa.int32()), single(pieces)), parts], names=["doc_id", "folds", "parts"])
+
+    rows = slim.mapInArrow(split, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, folds array<array<int>>, parts array<struct<ids:array<int>,fold:int>>")
+    joined = lambda done: F.flatten(F.transform("parts", lambda p: F.when(p["fold"] < 0, p["ids"]).otherwise(F.concat(p["ids"], F.get(done, p["fold"])))))
     ids = codec.bound(lambda fold: let(F.transform("folds", fold), joined))
     return rows.select("doc_id", ids.alias("ids"))
 
