@@ -18,6 +18,10 @@ from weldrow.operators.compare import Comparison, gammas
 Table = dict[str, dict[str, float]]  # comparison -> level label -> probability
 
 
+#: Hashes that a share of records is drawn from.
+SPAN = 1 << 62
+
+
 @dataclass
 class Model:
     """m and u by comparison and level label, the prior, and how training went."""
@@ -87,14 +91,16 @@ def patterns(pairs: DataFrame, comparisons: Sequence[Comparison]) -> list[tuple[
 def estimate_u(records: DataFrame, comparisons: Sequence[Comparison], model: Model, max_pairs: int = 1_000_000, seed: int = 42, link_type: str = "link_and_dedupe") -> Model:
     """Level frequencies among random pairs: records are drawn by a seeded hash so that about ``max_pairs`` pairs arise.
 
-    Drawn records are dealt to buckets and paired within each: random pairs by an equi-join, not a cross join.
+    Drawn records are dealt to buckets and paired within each: random pairs by an equi-join, not a cross join. Tables of
+    no more than ``max_pairs`` pairs are one bucket, so that all of their pairs count.
     """
     n = records.count()
     bucket = 256
-    drawn = min(1.0, max_pairs * 2 / max(1, n * bucket))
+    every = n * (n - 1) // 2 <= max_pairs
+    drawn = 1.0 if every else min(1.0, max_pairs * 2 / max(1, n * bucket))
     columns = sorted({c for x in comparisons for c in x.columns})
-    share = F.pmod(F.xxhash64("unique_id", F.lit(seed)), F.lit(1_000_000)) < int(drawn * 1_000_000)
-    buckets = max(1, round(n * drawn / bucket))
+    share = F.pmod(F.xxhash64("unique_id", F.lit(seed)), F.lit(SPAN)) < int(drawn * SPAN)
+    buckets = 1 if every else max(1, round(n * drawn / bucket))
     base = records.select("unique_id", "source_dataset", *columns).where(share if drawn < 1 else F.lit(True))
     base = base.withColumn("_b", F.pmod(F.xxhash64("unique_id", F.lit(seed + 1)), F.lit(buckets)))
     left, right = base.alias("l"), base.alias("r")
@@ -188,6 +194,8 @@ def score(pairs: DataFrame, comparisons: Sequence[Comparison], model: Model, rec
                 at = len(c.levels) - i
                 table = term_frequencies(records, level.tf).select(F.col("value").alias(f"_v_{c.name}"), F.col("tf").alias(f"_tf_{c.name}"))
                 hit = F.when(F.col(f"gamma_{c.name}") == at, F.col(f"{level.tf}_l"))
+                # pairs without the level have keys of their own that are no value, so that they are spread over tasks
+                hit = F.coalesce(hit, F.concat(F.lit("\0"), F.xxhash64("unique_id_l", "unique_id_r").cast("string")))
                 out = out.withColumn(f"_k_{c.name}", hit).join(table, F.col(f"_k_{c.name}") == F.col(f"_v_{c.name}"), "left")
                 gain = F.coalesce(F.log2(F.lit(model.u[c.name][level.label]) / F.col(f"_tf_{c.name}")), F.lit(0.0))
                 out = out.withColumn(f"_a_{c.name}", gain).drop(f"_k_{c.name}", f"_v_{c.name}", f"_tf_{c.name}")

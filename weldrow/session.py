@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder that lineage cuts are written to.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in local tests, a fresh
-    local folder is taken.
+    A cluster names it in ``spark.checkpoint.dir``, without which it is refused. Only local masters, as in tests, take
+    a fresh local folder.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weldrow-ckpt-"))
     return sc.getCheckpointDir()
 

@@ -13,13 +13,13 @@ from weldrow.profiles import EntityProfile
 
 
 def read_table(spark: SparkSession, path: str | Path, fmt: str = "csv", encoding: str = "utf-8", sep: str = ",") -> DataFrame:
-    """Every column as text, so that leading zeros stay; blank cells are null and the text NA is a value."""
+    """Every column as text, so that leading zeros stay; blank cells are null, the text NA is a value, and quoted cells may hold line breaks."""
     if fmt == "parquet":
         df = spark.read.parquet(str(path))
         return df.select(*[F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
     if fmt != "csv":
         raise ValueError(f"unknown format '{fmt}'")
-    return spark.read.csv(str(path), header=True, inferSchema=False, nullValue="", encoding=encoding, sep=sep, multiLine=False, quote='"', escape='"')
+    return spark.read.csv(str(path), header=True, inferSchema=False, nullValue="", encoding=encoding, sep=sep, multiLine=True, quote='"', escape='"')
 
 
 def unique_id(source: str, record_id: Column) -> Column:
