@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weldrow.llm.sampling import about, remainder
+from weldrow.llm.sampling import SPAN, remainder
 
 #: Letters in an n-gram, word ends (one space) included; hash functions; slots per n-gram of the richest language.
 GRAM, HASHES, ROOM = 4, 3, 16
-#: At most about so many labelled rows are learned from, taken by hash.
-TRAIN_ROWS = 8000
+#: Of each language, at most about so many labelled rows are learned from, taken by hash; languages at most.
+TRAIN_ROWS, MOST_LANGUAGES = 2000, 10_000
 #: A language knows an n-gram that so large a part of its documents (and two of them, if it has ten) hold.
 SUPPORT = 0.005
 #: Folds, the held-out one, and the code for texts without a letter.
@@ -89,14 +89,14 @@ class Filters:
 
     @staticmethod
     def places(h: np.ndarray, bits: int) -> list[np.ndarray]:
-        mask = np.uint64((1 << bits) - 1)
-        return [((h >> np.uint64(0)) & mask).astype(np.int64), ((h >> np.uint64(21)) & mask).astype(np.int64), ((h >> np.uint64(42)) & mask).astype(np.int64)][:HASHES]
+        """Slots of every hash function: its lower half and odd steps of its upper half from there."""
+        mask, step = np.uint64((1 << bits) - 1), (h >> np.uint64(32)) | np.uint64(1)
+        return [((h + np.uint64(k) * step) & mask).astype(np.int64) for k in range(HASHES)]
 
     @classmethod
     def build(cls, known: dict[str, np.ndarray]) -> Filters:
         languages = sorted(known)
         bits = int(np.ceil(np.log2(max(1024, ROOM * max((len(x) for x in known.values()), default=1)))))
-        bits = min(bits, 22)
         slots = np.zeros((1 << bits, max(1, -(-len(languages) // 64))), dtype=np.uint64)
         for i, lang in enumerate(languages):
             for at in cls.places(known[lang], bits):
@@ -129,13 +129,19 @@ class Filters:
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Filters:
-    """Learns from text and lang of at most about ``train_rows`` documents outside the held-out fold, whole texts.
+    """Learns from text and lang of documents outside the held-out fold, whole texts: at most about ``train_rows`` a language.
 
-    Per language, n-grams are counted by document, in partial sums per task and then per n-gram; those with enough
+    So a rare language is learned at every size of the table. Per language, n-grams are counted by document, in partial sums per task and then per n-gram; those with enough
     support enter the filter. Their number is bounded by the sample.
     """
     pool = docs.where((remainder(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull())
-    sample = about(pool.select("doc_id", "lang", "text"), F.col("doc_id"), train_rows).where("text is not null").select("lang", "text")
+    pool = pool.where("text is not null").select("doc_id", "lang", "text")
+    held = pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(held) > MOST_LANGUAGES:
+        raise ValueError(f"lang has over {MOST_LANGUAGES} values")
+    shares = docs.sparkSession.createDataFrame([(r["lang"], int(SPAN * min(1.0, train_rows / r["n"]))) for r in held], "lang string, share long")
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(SPAN)) < F.col("share")
+    sample = pool.join(F.broadcast(shares), "lang").where(drawn).select("lang", "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,8 +152,11 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Filters:
                 number = np.array([names.index(x) for x in langs[s:e]], dtype=np.int64)
                 for i, name in enumerate(names):
                     mine = number[owner] == i
-                    pair = np.unique(np.stack([owner[mine].astype(np.uint64), h[mine]]), axis=1)[1] if mine.any() else np.empty(0, np.uint64)
-                    gram, docs_with = np.unique(pair, return_counts=True)
+                    gram, whose = h[mine], owner[mine]
+                    order = np.lexsort((whose, gram))
+                    gram, whose = gram[order], whose[order]
+                    new = np.append(True, (gram[1:] != gram[:-1]) | (whose[1:] != whose[:-1]))[: len(gram)]  # a document's once
+                    gram, docs_with = np.unique(gram[new], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(docs_with)], names=["lang", "gram", "n"])
 
     counted = sample.mapInArrow(scan, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -177,7 +186,11 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
 
 
 def keep_known(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
-    """``docs`` without those of no known language: no letters, or a score under ``keep_from``. One pass, nothing is shuffled."""
+    """``docs`` without those of no known language: no letters, or a score under ``keep_from``. One pass, nothing is shuffled.
+
+    Null and empty texts have no letters and go. Repeated rows are judged each; columns stay as they are, whatever their
+    names; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
     at = docs.columns.index("text")
 
