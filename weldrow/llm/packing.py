@@ -109,9 +109,6 @@ def plan(cuts: np.ndarray, costs: np.ndarray, length: int = LENGTH, unpadded: tu
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, closes: np.ndarray, opens: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(positions, costs) of allowed cuts: document ends, sentence ends, and every ``length // 8`` tokens without either."""
     sentence = np.flatnonzero(closes[np.minimum(ids[:-1], len(closes) - 1)] & opens[np.minimum(ids[1:], len(opens) - 1)]) + 1
-    # of the sentence ends, the last in each 16 tokens: neighbours are worth the same
-    if len(sentence):
-        sentence = sentence[np.append(sentence[1:] // 16 != sentence[:-1] // 16, True)]
     soft = np.union1d(sentence, doc_ends)
     soft = np.union1d(soft, [0, len(ids)])
     gaps = np.diff(soft)
