@@ -111,6 +111,17 @@ def test_near_groups_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values())) and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_stages_take_any_columns_and_identifiers(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [("b", text, 1, "x"), ("a", text + " end", 2, "y"), ("c", "other words", 3, "z"), (None, text, 4, "n")]
+    d = spark.createDataFrame(rows, "doc_id string, text string, _id long, _digest string").withColumn("id", F.lit(0))
+    kept = simhash.keep_one(d)
+    assert sorted((r.doc_id or "", r._id) for r in kept.collect()) == [("", 4), ("a", 2), ("c", 3)] and kept.columns == d.columns
+    first = exact_dedup.keep_first(d)
+    assert sorted((r.doc_id, r._digest) for r in first.collect()) == [("a", "y"), ("b", "x"), ("c", "z")] and first.columns == d.columns
+    assert simhash.keep_one(d.limit(0)).count() == 0 and exact_dedup.keep_first(d.limit(0)).count() == 0
+
+
 def test_near_groups_ignore_how_often_a_line_repeats(spark):
     rows = []
     for g in range(8):

@@ -85,6 +85,15 @@ def test_language_on_held_out_documents(spark):
     assert langid.identify(docs(spark, ODD), f).count() == len(ODD)
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, " ".join(f"{a}{b}" for a in "bcdfg" for b in "aeiou"), "often") for i in range(300)] + [(1000 + i, "qwx zwq xqz wzx qzw", "rare") for i in range(8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(d, langid.fit(d, 20)).where("doc_id >= 1000").collect()
+    assert len(got) == 8 and all(r.lang_pred == "rare" for r in got)
+    kept = langid.keep_known(d.withColumns({"score": F.lit(1), "lang_pred": F.lit("x")}))
+    assert kept.count() == len(rows) and kept.columns[-2:] == ["score", "lang_pred"]
+
+
 def test_bit_sliced_filter_has_no_false_negatives():
     rng = np.random.default_rng(1)
     known = {f"l{i}": rng.integers(0, 1 << 63, 500, dtype=np.uint64) for i in range(70)}
@@ -114,6 +123,12 @@ def test_plan_is_optimal(seed):
     assert sum(packing.tail_sizes(77, 32)) == 77
 
 
+def test_every_sentence_end_is_a_candidate():
+    ids = np.array([0, 1, 0, 1, 0, 0, 1, 0])
+    cuts, costs = packing.candidates(ids, np.array([5, 8]), np.array([False, True]), np.array([True, True]), 64)
+    assert cuts.tolist() == [0, 2, 4, 5, 7, 8] and costs.tolist()[1:] == [packing.SENTENCE_CUT, packing.SENTENCE_CUT, 0, packing.SENTENCE_CUT, 0]
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
@@ -137,7 +152,7 @@ def test_packing_round_trip(spark):
 
 def test_shuffle_is_a_permutation(spark, tmp_path):
     rows = [(i, "text %d" % i) for i in range(500)] + ODD
-    d = docs(spark, rows).withColumn("slotless", F.lit("kept"))
+    d = docs(spark, rows).withColumns({"start": F.lit("kept"), "_bucket": F.lit(1), "_start": F.lit(2), "slot": F.lit(3), "row": F.lit(4)})
     got = shuffling.shuffle(d, bucket_bytes=500).collect()
     assert sorted((str(r.doc_id), r.text or "") for r in got) == sorted((str(i), t or "") for i, t in rows)
     shards = {}
@@ -148,6 +163,9 @@ def test_shuffle_is_a_permutation(spark, tmp_path):
     again = shuffling.shuffle(d.repartition(7), bucket_bytes=500).where("doc_id < 500").collect()
     assert {(r.doc_id, r.shard, r.slot) for r in again if r.doc_id != 7} == {(r.doc_id, r.shard, r.slot) for r in got if r.doc_id is not None and r.doc_id < 500 and r.doc_id != 7}
     assert shuffling.shuffle(d.limit(0)).count() == 0
+    assert set(shuffling.shuffle(d).columns) == {*d.columns, "shard"}
+    counts = spark.range(10_000).selectExpr("id as bucket", "id % 7 as n")
+    assert [r.start for r in shuffling._starts(counts).orderBy("bucket").collect()] == [0, *np.cumsum(np.arange(9999) % 7).tolist()]
     shuffling.write_shards(d, f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out").count() == len(rows)
 

@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, letter case aside."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def in_blocks(rows: DataFrame, keys: list[str], row_hash: str, most: int) -> DataFrame:
     """Rows of every key that at least two rows share, dealt to block pairs ``(_i, _j)`` with ``_i <= _j``.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weldrow.llm.blocks import unused
 from weldrow.session import cut
 
 #: White space that counts as one space.
@@ -76,15 +77,17 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` without the rows that :func:`exact_dedup` drops; columns stay as they are.
 
     Identical repeated rows are told apart by nothing, so where an identifier repeats, one row per identifier and
-    text is left by a second, rarely planned step.
+    text is left by a second, rarely planned step. Null texts count as empty, rows with a null identifier stay only where
+    their group has no other; an empty table gives an empty result. Columns may have any names.
     """
     verdict = exact_dedup(docs, id_col, text_col)
-    kept = cut(verdict.where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest")))
-    tagged = docs.withColumn("_digest", F.unhex(F.sha2(normalized(F.col(text_col)), 256)))
-    out = tagged.alias("d").join(kept.alias("k"), F.col(f"d.{id_col}").eqNullSafe(F.col("k._id")) & (F.col("d._digest") == F.col("k._digest")), "left_semi")
-    if not docs.groupBy(id_col).count().where("count > 1").isEmpty():
-        out = out.dropDuplicates([id_col, "_digest"])
-    return out.drop("_digest")
+    digest = unused(docs, "_digest")
+    kept = cut(verdict.where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_kept_digest")))
+    tagged = docs.withColumn(digest, F.unhex(F.sha2(normalized(F.col(text_col)), 256)))
+    out = tagged.alias("d").join(kept.alias("k"), F.col(f"d.{id_col}").eqNullSafe(F.col("k._id")) & (F.col(f"d.{digest}") == F.col("k._kept_digest")), "left_semi")
+    if not docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        out = out.dropDuplicates([id_col, digest])
+    return out.drop(digest)
 
 
 def op2_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

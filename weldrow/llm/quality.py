@@ -109,7 +109,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
-    """``docs`` without those that score below ``keep_from``; columns stay as they are. One pass, nothing is shuffled."""
+    """``docs`` without those that score below ``keep_from``; columns stay as they are. One pass, nothing is shuffled.
+
+    Null and empty texts have the score of the intercept. Repeated rows are judged each; columns may have any names; an
+    empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     at = docs.columns.index("text")
 

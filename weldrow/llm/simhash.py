@@ -265,8 +265,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     similar sets have a shingle in common among the first of both (:func:`prefix`, rare ones first). First every
     document is compared with documents that lead the keys it shares, so that large groups become one component
     without all their pairs; then all pairs of a key that are in different components still. Sizes and parities rule
-    out most, whole shingle sets decide the rest. Identifiers are whole numbers; rows without one are left alone.
+    out most, whole shingle sets decide the rest. Rows without an identifier are left alone; rows that repeat one count
+    once with each of their texts. Other columns are not read. An empty table gives an empty result.
     """
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        rows = written(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+        first = written(rows.groupBy("doc_id").agg(F.lit(1)).select("doc_id", F.monotonically_increasing_id().alias("number")))
+        groups = near_groups(rows.join(first, "doc_id").select("number", "text"), "number", "text", words, similarity).withColumnRenamed("doc_id", "number")
+        named = cut(groups.join(first, "number").select("doc_id", "component_id"))
+        return named.join(named.groupBy("component_id").agg(F.min("doc_id").alias("least")), "component_id").select("doc_id", F.col("least").alias("component_id"))
     slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     order = slim.sparkSession.sparkContext.broadcast(_frequent(slim, words))
 
@@ -318,9 +325,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one of the smallest identifier."""
-    drop = cut(near_groups(docs, id_col, text_col, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")))
-    return docs.join(drop, F.col(id_col) == F.col("_id"), "left_anti")
+    """``docs`` with one document of each near-duplicate group: the one of the smallest identifier.
+
+    Null and empty texts, and those of no words, are near duplicates of each other. Rows without an identifier stay, and so
+    do rows that repeat one that stays; an empty table gives an empty result. Columns may have any names.
+    """
+    drop = cut(near_groups(docs, id_col, text_col, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("id")))
+    return docs.alias("d").join(drop.alias("dropped"), F.col(f"d.{id_col}") == F.col("dropped.id"), "left_anti")
 
 
 def op4_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
