@@ -243,6 +243,30 @@ def _across(similarity: float):
     return scan
 
 
+def _similar(words: int, similarity: float):
+    """Over partitions sorted by ``a, part``, the row of document a itself first: partners with a similar shingle set."""
+
+    def near(x: np.ndarray, y: np.ndarray) -> bool:
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return len(x) + len(y) == 0 or common / (len(x) + len(y) - common) >= similarity
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sets = None, []
+        for b in batches:
+            found = []
+            for i, a, part, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                if at != (a, part):
+                    at, sets = (a, part), []
+                mine = shingle_set(text.as_py(), words)
+                if i == a:  # more than one where its identifier repeats
+                    sets.append(mine)
+                elif any(near(x, mine) for x in sets):
+                    found.append((a, i))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return scan
+
+
 def _frequent(slim: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that FREQUENT documents of a sample share, sorted, and in how many each is."""
 
@@ -285,12 +309,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", "size", "odd", "keys"])
 
-    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                sets = [shingle_set(t.as_py(), words).view(np.int64) for t in b.column(1)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
-
     def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -299,17 +317,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield b.select(["a", "b"]).filter(pa.array(fine))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs whose whole shingle sets are similar: texts travel, one a pair, to the text that they are compared with.
+
+        Partners of one document are cut into parts of about NEAR_BLOCK, to each of which that document goes.
+        """
         pairs = cut(pairs)
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = written(slim.join(ids, "id", "left_semi").mapInArrow(whole_sets, "id long, shingles array<long>"))
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        both = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("common"))
-        return cut(both.where((F.col("n") == 0) | (F.col("common") / (F.col("n") - F.col("common")) >= similarity)).select("a", "b"))
+        texts = written(slim.join(ids, "id", "left_semi"))
+        sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / NEAR_BLOCK).alias("parts"))
+        dealt = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("id"))
+        firsts = dealt.select("a", "part", F.col("a").alias("id")).distinct()
+        rows = firsts.join(texts, "id").unionAll(dealt.join(texts, "id").select("id", "a", "part", "text"))
+        rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("id") != F.col("a"))
+        return cut(rows.mapInArrow(_similar(words, similarity), "a long, b long").distinct())
 
     heads = written(slim.mapInArrow(scan, "id long, size long, odd binary, keys array<long>"))
     about_a, about_b = (heads.select(F.col("id").alias(c), F.col("size").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")) for c in "ab")
     key = Window.partitionBy("key")
-    lead = F.min(F.struct(F.xxhash64("id", F.pmod("key", F.lit(4))).alias("h"), F.col("id").alias("lead"))).over(key)
+    lead = F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("lead"))).over(key)
     rows = heads.select("id", F.explode("keys").alias("key")).withColumns({"n": F.count(F.lit(1)).over(key), "lead": lead})
     shared = cut(rows.where("n > 1").select("key", "id", "lead.lead"))
     led = shared.where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
