@@ -171,11 +171,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 #: Near duplicates of whole documents: words of a shingle, least Jaccard similarity of two shingle sets.
 NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
-#: Rows of a block of a shard; bits of a parity sketch.
-NEAR_BLOCK, PARITY = 1024, 512
+#: Rows of a block of a shard; bits of a parity sketch at least and at most; pairs whose sketches are compared at once.
+NEAR_BLOCK, PARITY, MOST_PARITY, PAIRS = 1024, 512, 1 << 15, 1 << 13
 #: Documents in which frequent shingles are counted, at most about, and in how many of them such a shingle is. Both
 #: only order the shingles: every order gives the same links.
 ORDER_ROWS, FREQUENT = 20_000, 4
+#: Orders of documents, of which a key takes one: the first of its documents leads it.
+LEADERS = 4
 #: Stands for the shingles of a document without words.
 NO_WORDS = 0
 
@@ -203,18 +205,40 @@ def prefix(shingles: np.ndarray, similarity: float, frequent: np.ndarray, counts
 
 
 def parity(shingles: np.ndarray) -> bytes:
-    """PARITY bits: whether an odd number of shingles falls on each. Two sets differ in at least as many shingles as bits."""
-    return np.packbits(np.bincount((shingles % np.uint64(PARITY)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1).tobytes()
+    """Two bits a shingle, a power of two: whether an odd number of shingles falls on each. Two sets differ in at least as many shingles as bits.
+
+    With so many bits few differences meet on one, so sets that are not similar are seldom taken for similar ones.
+    """
+    bits = min(MOST_PARITY, max(PARITY, 1 << (2 * len(shingles) - 1).bit_length())) if len(shingles) else PARITY
+    return np.packbits(np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches of fewer 64-bit words: of the halves, a bit is odd where just one is."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
 
 
 def may_be_near(n_a: np.ndarray, n_b: np.ndarray, odd_a: np.ndarray, odd_b: np.ndarray, similarity: float) -> np.ndarray:
     """False only for pairs that sizes and parities show to be less similar: similar sets differ in at most (1 - s) / (1 + s) of the sum of their sizes."""
     differ = np.bitwise_count(odd_a ^ odd_b).sum(axis=1, dtype=np.int64)
-    return (np.minimum(n_a, n_b) >= similarity * np.maximum(n_a, n_b) - 1e-9) & (differ <= (1 - similarity) / (1 + similarity) * (n_a + n_b) + 1e-9)
+    return sizes_fit(n_a, n_b, similarity) & (differ <= (1 - similarity) / (1 + similarity) * (n_a + n_b) + 1e-9)
+
 
+def sizes_fit(n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> np.ndarray:
+    return np.minimum(n_a, n_b) >= similarity * np.maximum(n_a, n_b) - 1e-9
 
-def _odd(parities: np.ndarray) -> np.ndarray:
-    return np.frombuffer(b"".join(parities), np.uint64).reshape(-1, PARITY // 64)
+
+def _words(sketches) -> np.ndarray:
+    """64-bit words of each sketch."""
+    return np.fromiter((len(x) // 8 for x in sketches), np.int64, len(sketches))
+
+
+def _odd(sketches, words: int) -> np.ndarray:
+    """Sketches of one length as rows of 64-bit words."""
+    return np.frombuffer(b"".join(sketches), np.uint64).reshape(-1, words)
 
 
 def _across(similarity: float):
@@ -225,20 +249,27 @@ def _across(similarity: float):
             ids, group, size = run["id"], run["component"], run["size"]
             if (group == group[0]).all():
                 continue
-            odd, within_one = _odd(run["odd"]), run["_i"][0] == run["_j"][0]
-            left = np.arange(len(ids)) if within_one else np.flatnonzero(run["_block"] == run["_i"][0])
-            right = left if within_one else np.flatnonzero(run["_block"] == run["_j"][0])
-            for k in range(0, len(left), 256):
-                some = left[k : k + 256]
-                apart = group[some][:, None] != group[right][None, :]
-                if within_one:
-                    apart &= some[:, None] < right[None, :]
-                x, y = np.nonzero(apart)
-                x, y = some[x], right[y]
-                fine = may_be_near(size[x], size[y], odd[x], odd[y], similarity)
-                if fine.any():
-                    a, b = ids[x[fine]], ids[y[fine]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            within_one, words = run["_i"][0] == run["_j"][0], _words(run["odd"])
+            for w in np.unique(words).tolist():
+                # sizes that fit have sketches of one length, or one has twice the other's
+                mine, reach = np.flatnonzero(words == w), np.flatnonzero((words == w) | (words == 2 * w))
+                odd = np.empty((len(ids), w), np.uint64)
+                for k in (w, 2 * w):
+                    if len(at := np.flatnonzero(words == k)):
+                        odd[at] = folded(_odd(run["odd"][at], k), w)
+                for k in range(0, len(mine), 256):
+                    some = mine[k : k + 256]
+                    fit = (group[some][:, None] != group[reach][None, :]) & sizes_fit(size[some][:, None], size[reach][None, :], similarity)
+                    fit &= (some[:, None] < reach[None, :]) | (words[reach] != w)[None, :]
+                    if not within_one:
+                        fit &= run["_block"][some][:, None] != run["_block"][reach][None, :]
+                    xs, ys = np.nonzero(fit)
+                    for j in range(0, len(xs), PAIRS):
+                        x, y = some[xs[j : j + PAIRS]], reach[ys[j : j + PAIRS]]
+                        near = may_be_near(size[x], size[y], odd[x], odd[y], similarity)
+                        if near.any():
+                            a, b = ids[x[near]], ids[y[near]]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return scan
 
@@ -306,15 +337,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
                 sets = [shingle_set(t.as_py(), words) for t in b.column(1)]
                 keys = [prefix(s, similarity, *order.value).view(np.int64) for s in sets]
-                cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", "size", "odd", "keys"])
+                odd = [parity(s) for s in sets]
+                short = [folded(np.frombuffer(x, np.uint64)[None, :], PARITY // 64).tobytes() for x in odd]
+                cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array(odd, pa.binary()), pa.array(short, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", "size", "odd", "short", "keys"])
 
     def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                a_n, b_n, a_odd, b_odd = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2, 6))
-                fine = may_be_near(a_n, b_n, _odd(a_odd), _odd(b_odd), similarity)
-                yield b.select(["a", "b"]).filter(pa.array(fine))
+            a_n, b_n = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            a_odd, b_odd = (b.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
+            a_words, b_words, fine = _words(a_odd), _words(b_odd), sizes_fit(a_n, b_n, similarity)
+            for v, w in {*zip(a_words[fine].tolist(), b_words[fine].tolist(), strict=True)}:
+                at = np.flatnonzero(fine & (a_words == v) & (b_words == w))
+                for k in range(0, len(at), PAIRS):
+                    some = at[k : k + PAIRS]
+                    fine[some] = may_be_near(a_n[some], b_n[some], folded(_odd(a_odd[some], v), min(v, w)), folded(_odd(b_odd[some], w), min(v, w)), similarity)
+            yield b.select(["a", "b"]).filter(pa.array(fine))
+
+    def likely(pairs: DataFrame, odd: str) -> DataFrame:
+        """Pairs that sizes and these sketches do not rule out."""
+        about_a, about_b = (heads.select(F.col("id").alias(c), F.col("size").alias(f"n_{c}"), F.col(odd).alias(f"odd_{c}")) for c in "ab")
+        both = pairs.join(about_a, "a").join(about_b, "b").where(f"least(n_a, n_b) >= {similarity} * greatest(n_a, n_b) - 1e-9")
+        return both.select("a", "b", "n_a", "n_b", "odd_a", "odd_b").mapInArrow(plausible, "a long, b long")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs whose whole shingle sets are similar: texts travel, one a pair, to the text that they are compared with.
@@ -331,15 +375,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("id") != F.col("a"))
         return cut(rows.mapInArrow(_similar(words, similarity), "a long, b long").distinct())
 
-    heads = written(slim.mapInArrow(scan, "id long, size long, odd binary, keys array<long>"))
-    about_a, about_b = (heads.select(F.col("id").alias(c), F.col("size").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")) for c in "ab")
+    heads = written(slim.mapInArrow(scan, "id long, size long, odd binary, short binary, keys array<long>"))
     key = Window.partitionBy("key")
-    lead = F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("lead"))).over(key)
+    lead = F.min(F.struct(F.xxhash64("id", F.pmod("key", F.lit(LEADERS))).alias("h"), F.col("id").alias("lead"))).over(key)
     rows = heads.select("id", F.explode("keys").alias("key")).withColumns({"n": F.count(F.lit(1)).over(key), "lead": lead})
     shared = cut(rows.where("n > 1").select("key", "id", "lead.lead"))
     led = shared.where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-    led = led.join(about_a, "a").join(about_b, "b").select("a", "b", "n_a", "n_b", "odd_a", "odd_b")
-    first = verified(led.mapInArrow(plausible, "a long, b long"))
+    first = verified(likely(cut(likely(led, "short")), "odd"))
     joined = connected_components(first, "a", "b").select(F.col("node").alias("id"), "component")
     rest = shared.join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     rest = rest.withColumns({"low": F.min("component").over(key), "high": F.max("component").over(key)}).where("low <> high").select("key", "id", "component")
