@@ -112,3 +112,23 @@ def test_entry_point_leaves_out_what_cannot_be_imported():
     code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and 'crosswalk' in q and not any(k.startswith('op') for k in q), q"
     said = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, capture_output=True, text=True, timeout=120, check=False)
     assert said.returncode == 0, said.stderr
+
+
+def test_configuration_file_round_trip(tmp_path):
+    import pytest
+
+    from weldrow.config import EngagementConfig, LLMConfig, OutputConfig
+
+    (tmp_path / "empty.yaml").write_text("")
+    with pytest.raises(ValueError, match="engagement"):
+        EngagementConfig.load(tmp_path / "empty.yaml")
+    for bad in ({"sample_rows": 201}, {"max_distinct_values_per_call": 501}, {"provider": "other"}, {"unknown": 1}):
+        with pytest.raises(ValueError):
+            LLMConfig(**bad)
+    (tmp_path / "run.yaml").write_text("engagement: {id: a-1}\nsources: [{name: s, path: s.csv, record_id_column: id}]\n")
+    config = EngagementConfig.load(tmp_path / "run.yaml")
+    assert config.profile == "provider" and config.llm.standardize_titles and config.llm.standardize_org_aliases
+    assert config.resolve(config.sources[0].path) == tmp_path / "s.csv"
+    saved = config.save(tmp_path / "other" / "run.yaml")
+    assert "config_dir" not in saved.read_text() and EngagementConfig.load(saved).config_dir == saved.parent
+    assert OutputConfig().dir is not None and LLMConfig().redact_columns is not LLMConfig().redact_columns
