@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from weldrow.config import ColumnMapping, SchemaMapping
 from weldrow.functions import text as T
 from weldrow.functions import udf
-from weldrow.functions.constants import EIN_PREFIX_RANGES, LEGAL_SUFFIXES, ORG_ALIASES, STATE_CODES, STREET_ABBREVIATIONS, TITLE_TAXONOMY
+from weldrow.functions.constants import EIN_PREFIX_RANGES, GENERATIONAL_SUFFIXES, LEGAL_SUFFIXES, NICKNAMES, ORG_ALIASES, STATE_CODES, STREET_ABBREVIATIONS, TITLE_TAXONOMY
 from weldrow.operators import cluster as C
 from weldrow.operators import evaluate as E
 from weldrow.operators import model as M
 from weldrow.operators.blocking import candidate_pairs, deterministic_pairs, rule_sql
-from weldrow.operators.compare import Comparison, exact, gammas, missing, reversed_columns, similar
+from weldrow.operators.compare import Comparison, both, exact, gammas, missing, overlapping, reversed_columns, similar
 from weldrow.profiles import PROVIDER, BlockingRule, DeterministicRule, Guard, HardConstraint, PairConstraint
 from weldrow.session import cut, written
 from weldrow.sources.reference import enrich, hub_frame
@@ -587,6 +587,68 @@ def column_profile(spark, sf_dir):
     return profile_columns(table(spark, sf_dir, "customer").select("c_name", "c_mktsegment")).withColumn("share_missing", F.round("share_missing", 6))
 
 
+# ---------------------------------------------------------------- names, identifiers, levels, rules
+
+_NICK = "MAP {" + ", ".join(f"'{k}': {sql_list(v)}" for k, v in NICKNAMES.items()) + "}"
+
+
+@query(f"WITH n AS (SELECT c_custkey, {sql_list(NICK)}[c_custkey % 12 + 1] AS t FROM customer) SELECT c_custkey, array_to_string(list_sort(list_distinct(list_concat([t], coalesce({_NICK}[t], [])))), '|') AS variants FROM n")
+def name_variants(spark, sf_dir):
+    first = F.concat(pick(NICK, "c_custkey % 12"), F.lit(" X"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(T.name_variants(first), "|").alias("variants"))
+
+
+SUFFIXES = ("Jr., MD", "III", "Ph.D.", "sr  m.d. FACP", "", "iv-rn")
+_TOKENS = f"list_filter(string_split({CLEAN_SQL.format('s')}, ' '), lambda t: t <> '')"
+
+
+@query(f"WITH r AS (SELECT p_partkey, {sql_list(SUFFIXES)}[p_partkey % 6 + 1] AS s FROM part), t AS (SELECT p_partkey, {_TOKENS} AS w FROM r) SELECT p_partkey, nullif(array_to_string(list_filter(w, lambda t: list_contains({sql_list(sorted(GENERATIONAL_SUFFIXES))}, t)), ' '), '') AS generation, nullif(array_to_string(list_filter(w, lambda t: NOT list_contains({sql_list(sorted(GENERATIONAL_SUFFIXES))}, t)), ' '), '') AS other FROM t")
+def suffixes_split(spark, sf_dir):
+    generation, other = T.split_suffixes(pick(SUFFIXES, "p_partkey % 6"))
+    return table(spark, sf_dir, "part").select("p_partkey", generation.alias("generation"), other.alias("other"))
+
+
+@query(f"WITH n AS (SELECT c_custkey, '1' || lpad(c_custkey::VARCHAR, 8, '0') AS nine FROM customer), v AS (SELECT c_custkey, nine || (c_custkey % 10)::VARCHAR AS npi, nine || (({LUHN})::INT)::VARCHAR AS good FROM n) SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'not_in_source' WHEN npi <> good THEN 'luhn_failed' ELSE 'ok' END AS verdict FROM v")
+def identifier_verdicts(spark, sf_dir):
+    npi = F.concat(F.lit("1"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"), F.expr("cast(c_custkey % 10 as string)"))
+    source = F.when(F.expr("c_custkey % 3 <> 0"), F.concat(F.lit("see NPI "), npi, F.lit("."))).otherwise("nothing here")
+    return table(spark, sf_dir, "customer").select("c_custkey", T.verify_identifier(npi, "npi", source).alias("verdict"))
+
+
+@query("WITH v AS (SELECT s_suppkey, ['a' || (s_suppkey % 4), 'b' || (s_suppkey % 5)] AS w FROM supplier) SELECT s_suppkey, array_to_string(list_filter(w, lambda x: x IN ('a0', 'a1', 'b2')), '|') AS allowed, array_to_string(list_filter(w, lambda x: x NOT IN ('a0', 'a1', 'b2')), '|') AS refused FROM v")
+def allowed_values(spark, sf_dir):
+    w = F.array(F.expr("concat('a', s_suppkey % 4)"), F.expr("concat('b', s_suppkey % 5)"))
+    allowed, refused = T.filter_allowed(w, F.array(*map(F.lit, ("a0", "a1", "b2"))))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(allowed, "|").alias("allowed"), F.array_join(refused, "|").alias("refused"))
+
+
+@query(f"WITH r AS (SELECT p_partkey, {sql_list(ORG_RAW)}[p_partkey % 8 + 1] AS org FROM part), c AS (SELECT p_partkey, {CLEAN_SQL.format('org')} AS raw FROM r) SELECT p_partkey, raw AS title_key, trim(regexp_replace(' ' || raw, '{_SUFFIX_SQL}', '')) AS org_key FROM c")
+def lookup_keys(spark, sf_dir):
+    raw = pick(ORG_RAW, "p_partkey % 8")
+    return table(spark, sf_dir, "part").select("p_partkey", T.value_key(raw, "title").alias("title_key"), T.value_key(raw, "org").alias("org_key"))
+
+
+@query("WITH p AS (SELECT c_custkey, ['w' || (c_custkey % 5), 'w' || (c_custkey % 7)] AS l, ['w' || (c_custkey % 3), 'w' || (c_custkey % 4)] AS r, c_custkey % 4 = c_custkey % 6 AS zip FROM customer) SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN -1 WHEN zip AND list_has_any(l, r) THEN 3 WHEN len(list_intersect(l, r)) >= 2 THEN 2 WHEN list_has_any(l, r) THEN 1 ELSE 0 END AS gamma_words FROM p")
+def overlap_levels(spark, sf_dir):
+    pairs = table(spark, sf_dir, "customer").selectExpr("c_custkey", "array(concat('w', c_custkey % 5), concat('w', c_custkey % 7)) as words_l", "CASE WHEN c_custkey % 11 <> 0 THEN array(concat('w', c_custkey % 3), concat('w', c_custkey % 4)) END as words_r", "c_custkey % 4 as zip_l", "c_custkey % 6 as zip_r")
+    levels = (both("same ZIP and a word", exact("zip"), overlapping("words", "a word")), overlapping("words", "two words", 2), overlapping("words", "a word"))
+    return gammas(pairs, [Comparison("words", ("words", "zip"), missing("words"), levels)]).select("c_custkey", "gamma_words")
+
+
+PROVIDER_RULES = [r for r in PROVIDER.blocking_rules if "dm" not in rule_sql(r)]
+
+
+@query(f"WITH {PEOPLE}, {union_sql(shown=(), rules=PROVIDER_RULES)} SELECT * FROM cand")
+def block_provider(spark, sf_dir):
+    """The provider profile's rules, without the one on sounds, whose columns these people lack."""
+    return candidate_pairs(people(spark, sf_dir), PROVIDER.blocking_rules, columns=())
+
+
+@query(f"WITH {PEOPLE}, {union_sql(shown=())} SELECT * FROM cand WHERE unique_id_l LIKE 'claims:%' AND unique_id_r LIKE 'claims:%'")
+def pairs_of_one_source(spark, sf_dir):
+    return E.restrict(candidate_pairs(people(spark, sf_dir), RULES, columns=()), ["claims"])
+
+
 # ---------------------------------------------------------------- documents
 
 DOCUMENT_SQL = f"""
