@@ -84,7 +84,7 @@ class Filters:
     """Slots whose bit l says that an n-gram of language l hashes here."""
 
     languages: list[str]
-    slots: np.ndarray  # (2 ** bits, words of 64 languages)
+    slots: np.ndarray  # (2 ** bits, words of 64 languages; bytes, if 8 are enough)
     false_rate: np.ndarray
 
     @staticmethod
@@ -97,10 +97,10 @@ class Filters:
     def build(cls, known: dict[str, np.ndarray]) -> Filters:
         languages = sorted(known)
         bits = int(np.ceil(np.log2(max(1024, ROOM * max((len(x) for x in known.values()), default=1)))))
-        slots = np.zeros((1 << bits, max(1, -(-len(languages) // 64))), dtype=np.uint64)
+        slots = np.zeros((1 << bits, max(1, -(-len(languages) // 64))), dtype=np.uint8 if len(languages) <= 8 else np.uint64)
         for i, lang in enumerate(languages):
             for at in cls.places(known[lang], bits):
-                slots[at, i // 64] |= np.uint64(1 << (i % 64))
+                slots[at, i // 64] |= slots.dtype.type(1 << (i % 64))
         fill = np.array([((slots[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))])
         return cls(languages, slots, fill**HASHES)
 
