@@ -22,8 +22,9 @@ SUPPORT = 0.005
 FOLDS, HELD_OUT, UNDETERMINED = 4, 2, "und"
 #: In a pipeline: documents whose best language knows a smaller part of their n-grams go.
 KEEP_FROM = 0.3
-#: Characters hashed at once.
-STEP = 1 << 21
+#: Characters hashed at once: few in prediction, so that a worker's arrays stay small; more in training, where each step's
+#: counts are one set of rows.
+STEP, TRAIN_STEP = 1 << 18, 1 << 20
 
 _LETTER: np.ndarray | None = None
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -67,12 +68,12 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h[same], owner[:n][same], has
 
 
-def _steps(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Slices of the batch with about STEP characters; a longer text is a slice of its own."""
+def _steps(texts: list[str | None], step: int = STEP) -> Iterator[tuple[int, int]]:
+    """Slices of the batch with about ``step`` characters; a longer text is a slice of its own."""
     start = size = 0
     for i, t in enumerate(texts):
         n = len(t or "")
-        if size and size + n > STEP:
+        if size and size + n > step:
             yield start, i
             start, size = i, 0
         size += n
@@ -110,9 +111,10 @@ class Filters:
         bits = int(len(self.slots)).bit_length() - 1
         for s, e in _steps(texts):
             h, owner, has = grams(texts[s:e])
-            found = self.slots[self.places(h, bits)[0]]
-            for at in self.places(h, bits)[1:]:
-                found = found & self.slots[at]
+            first, *others = self.places(h, bits)
+            found = self.slots[first]
+            for at in others:
+                found &= self.slots[at]
             total = np.bincount(owner, minlength=e - s)
             share = np.zeros((e - s, len(self.languages)))
             for i in range(len(self.languages)):
@@ -146,7 +148,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Filters:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for s, e in _steps(texts):
+            for s, e in _steps(texts, TRAIN_STEP):
                 h, owner, _ = grams(texts[s:e])
                 names = sorted(set(langs[s:e]))
                 number = np.array([names.index(x) for x in langs[s:e]], dtype=np.int64)
