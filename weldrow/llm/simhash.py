@@ -173,6 +173,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
 #: Rows of a block of a shard; bits of a parity sketch at least and at most; pairs whose sketches are compared at once.
 NEAR_BLOCK, PARITY, MOST_PARITY, PAIRS = 1024, 512, 1 << 15, 1 << 13
+#: Characters of a block of whole texts, at most about.
+NEAR_CHARS = 1 << 23
 #: Documents in which frequent shingles are counted, at most about, and in how many of them such a shingle is. Both
 #: only order the shingles: every order gives the same links.
 ORDER_ROWS, FREQUENT = 20_000, 4
@@ -241,46 +243,96 @@ def _odd(sketches, words: int) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), np.uint64).reshape(-1, words)
 
 
+def _pairs(run: dict[str, np.ndarray], odd: np.ndarray, label: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Pairs of a block pair's rows that sizes and parities do not rule out, of different components and labels.
+
+    Labels may be changed between pairs: pairs of one label are not given from then on.
+    """
+    group, size, words = run["component"], run["size"], _words(odd)
+    within_one = run["_i"][0] == run["_j"][0]
+    for w in np.unique(words).tolist():
+        # sizes that fit have sketches of one length, or one has twice the other's
+        mine, reach = np.flatnonzero(words == w), np.flatnonzero((words == w) | (words == 2 * w))
+        rows = np.concatenate([folded(_odd(odd[at], k), w) for k in (w, 2 * w) if len(at := np.flatnonzero(words == k))])
+        place = np.empty(len(group), np.int64)
+        place[np.concatenate([np.flatnonzero(words == k) for k in (w, 2 * w)])] = np.arange(len(rows))
+        for k in range(0, len(mine), 256):
+            some = mine[k : k + 256]
+            fit = (group[some][:, None] != group[reach][None, :]) & (label[some][:, None] != label[reach][None, :])
+            fit &= sizes_fit(size[some][:, None], size[reach][None, :], similarity)
+            fit &= (some[:, None] < reach[None, :]) | (words[reach] != w)[None, :]
+            if not within_one:
+                fit &= run["_block"][some][:, None] != run["_block"][reach][None, :]
+            xs, ys = np.nonzero(fit)
+            for j in range(0, len(xs), PAIRS):
+                x, y = some[xs[j : j + PAIRS]], reach[ys[j : j + PAIRS]]
+                near = (label[x] != label[y]) & may_be_near(size[x], size[y], rows[place[x]], rows[place[y]], similarity)
+                for x1, y1 in zip(x[near].tolist(), y[near].tolist(), strict=True):
+                    if label[x1] != label[y1]:
+                        yield x1, y1
+
+
+def _join(label: np.ndarray, x: int, y: int) -> None:
+    """One label for all that have either's."""
+    label[label == label[y]] = label[x]
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
 def _across(similarity: float):
-    """Over sorted block pairs: pairs of different components that sizes and parities do not rule out."""
+    """Over sorted block pairs: edges that connect all rows of different components that sizes and parities do not rule out.
+
+    Each edge joins two sets of a block pair's rows, so there are fewer edges than rows.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in iter_runs(batches, ["key", "_i", "_j"]):
-            ids, group, size = run["id"], run["component"], run["size"]
+            ids, group, found = run["id"], run["component"], []
             if (group == group[0]).all():
                 continue
-            within_one, words = run["_i"][0] == run["_j"][0], _words(run["odd"])
-            for w in np.unique(words).tolist():
-                # sizes that fit have sketches of one length, or one has twice the other's
-                mine, reach = np.flatnonzero(words == w), np.flatnonzero((words == w) | (words == 2 * w))
-                odd = np.empty((len(ids), w), np.uint64)
-                for k in (w, 2 * w):
-                    if len(at := np.flatnonzero(words == k)):
-                        odd[at] = folded(_odd(run["odd"][at], k), w)
-                for k in range(0, len(mine), 256):
-                    some = mine[k : k + 256]
-                    fit = (group[some][:, None] != group[reach][None, :]) & sizes_fit(size[some][:, None], size[reach][None, :], similarity)
-                    fit &= (some[:, None] < reach[None, :]) | (words[reach] != w)[None, :]
-                    if not within_one:
-                        fit &= run["_block"][some][:, None] != run["_block"][reach][None, :]
-                    xs, ys = np.nonzero(fit)
-                    for j in range(0, len(xs), PAIRS):
-                        x, y = some[xs[j : j + PAIRS]], reach[ys[j : j + PAIRS]]
-                        near = may_be_near(size[x], size[y], odd[x], odd[y], similarity)
-                        if near.any():
-                            a, b = ids[x[near]], ids[y[near]]
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            label = np.arange(len(ids))
+            for x, y in _pairs(run, run["odd"], label, similarity):
+                found.append((ids[x], ids[y]))
+                _join(label, x, y)
+            if found:
+                yield _edges(found)
 
     return scan
 
 
+def _among(words: int, similarity: float):
+    """Over sorted block pairs of texts: edges that connect all rows of different components whose shingle sets are similar."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in iter_runs(batches, ["key", "_i", "_j"]):
+            ids, found = run["id"], []
+            label = np.unique(run["component"], return_inverse=True)[1]
+            if not label.any():
+                continue
+            sets = [shingle_set(t, words) for t in run["text"]]
+            run["size"], odd = np.array([len(s) for s in sets]), np.empty(len(sets), object)
+            odd[:] = [parity(s) for s in sets]
+            for x, y in _pairs(run, odd, label, similarity):
+                if _sets_near(sets[x], sets[y], similarity):
+                    found.append((ids[x], ids[y]))
+                    _join(label, x, y)
+            if found:
+                yield _edges(found)
+
+    return scan
+
+
+def _sets_near(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity is reached; two sets without shingles are similar."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return len(x) + len(y) == 0 or common / (len(x) + len(y) - common) >= similarity
+
+
 def _similar(words: int, similarity: float):
     """Over partitions sorted by ``a, part``, the row of document a itself first: partners with a similar shingle set."""
 
-    def near(x: np.ndarray, y: np.ndarray) -> bool:
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        return len(x) + len(y) == 0 or common / (len(x) + len(y) - common) >= similarity
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sets = None, []
         for b in batches:
@@ -291,9 +343,9 @@ def _similar(words: int, similarity: float):
                 mine = shingle_set(text.as_py(), words)
                 if i == a:  # more than one where its identifier repeats
                     sets.append(mine)
-                elif any(near(x, mine) for x in sets):
+                elif any(_sets_near(x, mine, similarity) for x in sets):
                     found.append((a, i))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            yield _edges(found)
 
     return scan
 
@@ -320,7 +372,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     similar sets have a shingle in common among the first of both (:func:`prefix`, rare ones first). First every
     document is compared with documents that lead the keys it shares, so that large groups become one component
     without all their pairs; then all pairs of a key that are in different components still. Sizes and parities rule
-    out most, whole shingle sets decide the rest. Rows without an identifier are left alone; rows that repeat one count
+    out most. What they leave is passed on as edges that connect it, fewer than rows, and not as pairs; whole shingle
+    sets decide within each set so connected, once however many keys two documents share. Rows without an identifier are left alone; rows that repeat one count
     once with each of their texts. Other columns are not read. An empty table gives an empty result.
     """
     if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
@@ -387,7 +440,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = rest.withColumns({"low": F.min("component").over(key), "high": F.max("component").over(key)}).where("low <> high").select("key", "id", "component")
     on = ["key", "_i", "_j"]
     dealt = in_blocks(cut(rest), ["key"], "id", NEAR_BLOCK).join(heads.select("id", "size", "odd"), "id").select(*on, "_block", "id", "component", "size", "odd")
-    second = verified(dealt.repartition(*on).sortWithinPartitions(*on, "id").mapInArrow(_across(similarity), "a long, b long").distinct())
+    maybe = cut(dealt.repartition(*on).sortWithinPartitions(*on, "id").mapInArrow(_across(similarity), "a long, b long").distinct())
+    chained = connected_components(maybe, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("key"))
+    texts = written(slim.join(chained, "id").join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), "text", F.coalesce(F.length("text"), F.lit(0)).alias("chars")))
+    dealt = in_blocks(texts, ["key"], "id", NEAR_BLOCK, "chars", NEAR_CHARS).select(*on, "_block", "id", "component", "text")
+    second = cut(dealt.repartition(*on).sortWithinPartitions(*on, "id").mapInArrow(_among(words, similarity), "a long, b long").distinct())
     return connected_components(first.unionAll(second), "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
