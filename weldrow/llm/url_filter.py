@@ -17,6 +17,8 @@ ONE = 1 << 50
 DAMPING, ROUNDS = 85, 8
 #: Ranks have settled when those of a kind change by less than this in all over ROUNDS rounds (a millionth of its seeds).
 SETTLED = ONE >> 20
+#: A round's sums are written by one task for each so many edges, and by LEAST_TASKS at least.
+EDGES_A_TASK, LEAST_TASKS = 1 << 18, 8
 #: A host is blocked when its distrust is at least this many percent of its trust, and not zero.
 THRESHOLD = 100
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
@@ -79,12 +81,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, dam
 
     ``seeds``: kind (``trust`` or ``distrust``), host, weight. Ranks are whole numbers out of ``ONE``. The rank of hosts
     without out-edges is not passed on. Each round is one equi-join with the edges and one sum per host; ranks enter
-    a round's plan once and are cut after each ROUNDS. Rounds go on until ranks have settled and reach no further host;
+    a round's plan once and are cut after each ROUNDS. Tasks that write shuffle files are as many as the edges need, so
+    that the many rounds over a small graph don't leave a file for every partition. Rounds go on until ranks have settled and reach no further host;
     what is passed on falls below one unit in the end, so they do stop. A number of ``rounds`` is kept to where given.
     """
     ways = edges.select(F.lit("trust").alias("kind"), "src", "dst").unionAll(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst")))
     degree = ways.groupBy("kind", "src").agg(F.count(F.lit(1)).alias("degree"))
     ways = cut(ways.join(degree, ["kind", "src"]).withColumnRenamed("src", "host"))
+    tasks = max(LEAST_TASKS, -(-ways.count() // EDGES_A_TASK))
     total = seeds.groupBy("kind").agg(F.sum("weight").alias("total"))
     start = cut(seeds.join(total, "kind").selectExpr("kind", "host", f"cast(floor(weight / total * {1 << 30}) as bigint) * {ONE >> 30} as mass"))
     kept = start.selectExpr("kind", "host", f"(mass div 100) * {100 - damping} as mass")
@@ -92,14 +96,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, dam
     def after(rank: DataFrame, rounds: int) -> DataFrame:
         for _ in range(rounds):
             passed = rank.join(ways, ["kind", "host"]).selectExpr("kind", "dst as host", f"((mass div 100) * {damping}) div degree as mass")
-            rank = passed.unionAll(kept).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+            rank = passed.unionAll(kept).coalesce(tasks).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
         return rank
 
     if rounds is not None:
         return after(start, rounds).withColumnRenamed("mass", "rank")
     rank, moving = start, True
     while moving:
-        new = cut(after(rank, ROUNDS))
+        new = cut(after(rank, ROUNDS).coalesce(tasks))
         both = new.selectExpr("kind", "host", "mass", "0L as was").unionAll(rank.selectExpr("kind", "host", "0L as mass", "mass as was"))
         both = both.groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("was").alias("was"))
         by_kind = both.groupBy("kind").agg(F.sum(F.abs(F.col("mass") - F.col("was"))).alias("change"), F.max((F.col("mass") > 0) & (F.col("was") == 0)).alias("further"))
