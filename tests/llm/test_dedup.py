@@ -132,6 +132,29 @@ def test_near_groups_ignore_how_often_a_line_repeats(spark):
     assert got == {i: i // 10 * 10 for i, _ in rows}
 
 
+def test_near_groups_go_through_simhash(spark, monkeypatch):
+    """Links of the BK-trees are confirmed and used: with no shared keys, they alone bring near copies together."""
+    w = [f"w{i}" for i in range(2000)]
+    rows = [(1, " ".join(w)), (2, " ".join(["new", *w])), (3, " ".join(w) + " "), (4, "other words"), (5, None), (6, " ")]
+    got = [simhash.bits_of(simhash.shingle_set(t)) if (t or "").split() else 0 for _, t in rows]
+    assert (got[0] ^ got[1]).bit_count() <= simhash.RADIUS
+    called = []
+    monkeypatch.setattr(simhash, "linked", lambda *a, f=simhash.linked, **k: called.append(1) or f(*a, **k))
+    monkeypatch.setattr(simhash, "prefix", lambda *a: np.empty(0, np.uint64))
+    groups = {r.doc_id: r.component_id for r in simhash.near_groups(docs(spark, rows)).collect()}
+    assert called and groups == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5}
+
+
+def test_direct_links_are_within_the_radius(spark):
+    rng = np.random.default_rng(8)
+    fps = sorted({int(x) ^ (1 << int(p)) ^ (1 << int(q)) for x in rng.integers(0, 1 << 62, 20) for p, q in rng.integers(0, 62, (6, 2))})
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    got = [(r.a, r.b) for r in simhash.linked(df, tree_size=8, direct=True).collect()]
+    assert got and all((a ^ b).bit_count() <= simhash.RADIUS for a, b in got)
+    parts = lambda edges: {r.node: r.component for r in simhash.connected_components(edges, "a", "b").collect()}
+    assert parts(simhash.linked(df, tree_size=8, direct=True)) == parts(simhash.linked(df, tree_size=8))
+
+
 @pytest.mark.parametrize("block", [1024, 4])
 def test_near_groups_miss_no_pair_at_the_threshold(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "NEAR_BLOCK", block)

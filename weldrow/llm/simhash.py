@@ -99,8 +99,11 @@ class BKTree:
         return found
 
 
-def _tree_links(radius: int):
-    """Over sorted block pairs: every fingerprint with the least fingerprint that it is linked to in its block pair."""
+def _tree_links(radius: int, direct: bool = False):
+    """Over sorted block pairs: every fingerprint with the least fingerprint that it is linked to in its block pair.
+
+    If ``direct``, the links that joined them instead, which are as few: both ends are within the radius.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[int] = []
@@ -112,19 +115,26 @@ def _tree_links(radius: int):
             sets, tree = Sets(len(fps)), BKTree()
             within_one = run["_i"][0] == run["_j"][0]
             home = [0] * len(fps)  # position of each tree node's row
+            signed = run["fp"].tolist()
+
+            def meet(x: int, y: int, sets=sets, signed=signed) -> None:
+                if direct and sets.find(x) != sets.find(y):
+                    left.append(signed[x])
+                    right.append(signed[y])
+                sets.union(x, y)
+
             first = range(len(fps)) if within_one else np.flatnonzero(run["_block"] == run["_i"][0]).tolist()
             for x in first:
                 if within_one:
                     for at in tree.within(fps[x], radius):
-                        sets.union(x, home[at])
+                        meet(x, home[at])
                 home[tree.add(fps[x])] = x
             if not within_one:
                 for x in np.flatnonzero(run["_block"] == run["_j"][0]).tolist():
                     for at in tree.within(fps[x], radius):
-                        sets.union(x, home[at])
-            signed = run["fp"].tolist()
+                        meet(x, home[at])
             for x in range(len(fps)):
-                if (top := sets.find(x)) != x:
+                if not direct and (top := sets.find(x)) != x:
                     left.append(signed[x])
                     right.append(signed[top])
             if len(left) > 50_000:
@@ -135,8 +145,8 @@ def _tree_links(radius: int):
     return scan
 
 
-def linked(fps: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
-    """Edges ``a, b`` that connect all distinct fingerprints (column ``fp``) within ``radius`` bits of each other.
+def linked(fps: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE, direct: bool = False) -> DataFrame:
+    """Edges ``a, b`` that connect all distinct fingerprints (column ``fp``) within ``radius`` bits of each other; if ``direct``, each edge is such a pair.
 
     The 64 bits are cut into ``radius + 1`` parts. Two fingerprints within the radius agree in one part at least, so
     a shard is a (part, bits) value: it holds all partners of its members and a BK-tree over it finds them exactly. A
@@ -148,7 +158,7 @@ def linked(fps: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) ->
     rows = fps.select("fp", F.inline(F.array(*parts)))
     keys = ["part", "bits", "_i", "_j"]
     dealt = in_blocks(rows, ["part", "bits"], "fp", tree_size).select(*keys, "_block", "fp")
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(_tree_links(radius), "a long, b long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(_tree_links(radius, direct), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
@@ -365,11 +375,24 @@ def _frequent(slim: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles.view(np.uint64)[order], counts[order]
 
 
+def simhash_links(rows: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
+    """Pairs ``a, b`` of identifiers that connect all rows (``id, fp``) whose fingerprints link, found by the BK-trees.
+
+    Rows of one fingerprint pair with the least identifier that has it, and those of linked fingerprints with each other.
+    """
+    least = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    alike = rows.join(least, "fp").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    a, b = (least.select(F.col("fp").alias(c), F.col("least").alias(f"id_{c}")) for c in "ab")
+    across = linked(least, radius, tree_size, direct=True).distinct().join(a, "a").join(b, "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    return alike.unionAll(across.where("a <> b")).distinct()
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """``doc_id, component_id`` of the documents that have a near duplicate.
 
     Near duplicates share at least ``similarity`` of the union of their word shingles (64-bit hashes). None is missed:
-    similar sets have a shingle in common among the first of both (:func:`prefix`, rare ones first). First every
+    similar sets have a shingle in common among the first of both (:func:`prefix`, rare ones first). First the
+    pairs of SimHash (:func:`simhash_links`) are confirmed by whole shingle sets, and for what 64 bits cannot show every
     document is compared with documents that lead the keys it shares, so that large groups become one component
     without all their pairs; then all pairs of a key that are in different components still. Sizes and parities rule
     out most. What they leave is passed on as edges that connect it, fewer than rows, and not as pairs; whole shingle
@@ -392,8 +415,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 keys = [prefix(s, similarity, *order.value).view(np.int64) for s in sets]
                 odd = [parity(s) for s in sets]
                 short = [folded(np.frombuffer(x, np.uint64)[None, :], PARITY // 64).tobytes() for x in odd]
-                cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array(odd, pa.binary()), pa.array(short, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", "size", "odd", "short", "keys"])
+                fps = np.array([bits_of(s) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
+                cols = [pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array(odd, pa.binary()), pa.array(short, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", "fp", "size", "odd", "short", "keys"])
 
     def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -428,13 +452,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("id") != F.col("a"))
         return cut(rows.mapInArrow(_similar(words, similarity), "a long, b long").distinct())
 
-    heads = written(slim.mapInArrow(scan, "id long, size long, odd binary, short binary, keys array<long>"))
+    heads = written(slim.mapInArrow(scan, "id long, fp long, size long, odd binary, short binary, keys array<long>"))
     key = Window.partitionBy("key")
     lead = F.min(F.struct(F.xxhash64("id", F.pmod("key", F.lit(LEADERS))).alias("h"), F.col("id").alias("lead"))).over(key)
     rows = heads.select("id", F.explode("keys").alias("key")).withColumns({"n": F.count(F.lit(1)).over(key), "lead": lead})
     shared = cut(rows.where("n > 1").select("key", "id", "lead.lead"))
-    led = shared.where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-    first = verified(likely(cut(likely(led, "short")), "odd"))
+    led = shared.where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+    met = simhash_links(heads.select("id", "fp")).unionAll(led).distinct()
+    first = verified(likely(cut(likely(met, "short")), "odd"))
     joined = connected_components(first, "a", "b").select(F.col("node").alias("id"), "component")
     rest = shared.join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     rest = rest.withColumns({"low": F.min("component").over(key), "high": F.max("component").over(key)}).where("low <> high").select("key", "id", "component")
