@@ -189,3 +189,19 @@ def test_rank_is_dense_and_in_order(spark):
     df = spark.range(1000).select(F.format_string("%05d", F.col("id") * 7 % 1000).alias("c"))
     got = [r.k for r in C._rank(df, "c", "k", 8).orderBy("c").collect()]
     assert got == list(range(1, 1001))
+
+
+def test_equalities_are_counted_without_pairs(spark, monkeypatch):
+    from weldrow.operators.blocking import candidate_pairs
+    from weldrow.operators.compare import Comparison, exact, missing
+
+    one = lambda c: Comparison(c, (c,), missing(c), (exact(c),))
+    rows = [(f"r{i // 2 if i > 50 else i}", "s", "n" if i % 9 else None, f"z{i % 4}" if i % 5 else None, f"p{i % 7}" if i % 3 else None) for i in range(60)] + [(None, "s", "n", "z1", "p1")]
+    df = spark.createDataFrame(rows, "unique_id string, source_dataset string, name string, zip string, npi string")
+    rule, compared = BlockingRule(("name",)), [one("zip"), one("npi")]
+    want = M.patterns(candidate_pairs(df, [rule], columns=("zip", "npi")), compared)
+    with monkeypatch.context() as m:
+        m.setattr(M, "candidate_pairs", lambda *a: pytest.fail("pairs were made"))
+        assert M.block_patterns(df, rule, compared) == want and len(want) > 5
+        model = M.estimate_m(df, [rule], [one("name"), *compared], M.start_model([one("name"), *compared]))
+    assert model.log[0]["pairs"] == sum(n for _, n in want) and model.log[0]["held_out"] == ["name"]

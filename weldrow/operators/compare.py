@@ -16,11 +16,12 @@ def side(s: str, name: str) -> Column:
 
 @dataclass(frozen=True)
 class Level:
-    """One way to agree. ``test`` maps the pair's similarity columns to a predicate; ``tf`` names a frequency-adjusted column."""
+    """One way to agree. ``test`` maps the pair's similarity columns to a predicate; ``tf`` names a frequency-adjusted column, ``equal`` the one that is equal."""
 
     label: str
     test: Callable[[Callable[[str], Column]], Column]
     tf: str | None = None
+    equal: str | None = None
 
 
 @dataclass(frozen=True)
@@ -39,12 +40,17 @@ class Comparison:
             out = out.when(F.coalesce(level.test(similarity), F.lit(False)), F.lit(len(self.levels) - i))
         return out.otherwise(F.lit(0))
 
+    def equality(self) -> str | None:
+        """The column whose equality is all that this compares, if it is so."""
+        column = self.levels[0].equal if len(self.levels) == 1 else None
+        return column if column and getattr(self.null, "columns", None) == (column,) else None
+
     def labels(self) -> dict[int, str]:
         return {len(self.levels) - i: x.label for i, x in enumerate(self.levels)} | {0: "all other"}
 
 
 def exact(column: str, label: str | None = None, tf: bool = False) -> Level:
-    return Level(label or f"exact {column}", lambda _: side("l", column) == side("r", column), column if tf else None)
+    return Level(label or f"exact {column}", lambda _: side("l", column) == side("r", column), column if tf else None, column)
 
 
 def similar(column: str, threshold: float) -> Level:
@@ -90,6 +96,7 @@ def missing(*columns: str) -> Callable[[], Column]:
             out = out & (side("l", c).isNull() | side("r", c).isNull())
         return out
 
+    test.columns = columns
     return test
 
 

@@ -6,6 +6,9 @@ import json
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
+from functools import reduce
+from itertools import combinations
+from operator import and_
 from pathlib import Path
 
 import numpy as np
@@ -88,6 +91,42 @@ def patterns(pairs: DataFrame, comparisons: Sequence[Comparison]) -> list[tuple[
     return sorted((tuple(r[n] for n in names), r["count"]) for r in rows)
 
 
+#: Comparisons that are counted without pairs at most: each doubles the aggregations.
+COUNTED = 4
+
+
+def block_patterns(records: DataFrame, rule, comparisons: Sequence[Comparison], link_type: str = "link_and_dedupe") -> list[tuple[tuple[int, ...], int]]:
+    """:func:`patterns` of a rule's candidate pairs.
+
+    Where the rule is equality of columns and every comparison is, too, no pair is made: records that agree on some of
+    the columns are counted, and inclusion and exclusion gives how many pairs agree on just those. So a block of n records
+    costs n and not n squared.
+    """
+    columns = [c.equality() for c in comparisons]
+    if link_type == "link_only" or getattr(rule, "sql", None) or None in columns or not 0 < len(columns) <= COUNTED:
+        return patterns(candidate_pairs(records, [rule], link_type, sorted({c for x in comparisons for c in x.columns})), comparisons)
+    block = sorted(rule_columns(rule))
+    rows = records.select(F.col("unique_id").alias("id"), *[F.col(c).alias(f"b{i}") for i, c in enumerate(block)], *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    rows = rows.dropna(subset=["id", *(f"b{i}" for i in range(len(block)))])
+    every = [frozenset(x) for n in range(len(columns) + 1) for x in combinations(range(len(columns)), n)]
+    least = {}  # pairs with values on both sides in all of the first columns, equal ones in all of the second
+    for same in every:
+        known = [k for k in every if same <= k]
+        by = [*(f"b{i}" for i in range(len(block))), *(f"c{i}" for i in sorted(same))]
+        has = [reduce(and_, [F.col(f"c{i}").isNotNull() for i in sorted(k)], F.lit(True)) for k in known]
+        of_id = rows.groupBy(*by, "id").agg(*[F.count_if(h).alias(f"n{j}") for j, h in enumerate(has)])
+        sizes = of_id.groupBy(*by).agg(*[F.sum(f"n{j}").alias(f"n{j}") for j in range(len(known))], *[F.sum(F.col(f"n{j}") * F.col(f"n{j}")).alias(f"q{j}") for j in range(len(known))])
+        got = sizes.agg(*[F.sum(F.col(f"n{j}") * F.col(f"n{j}") - F.col(f"q{j}")) for j in range(len(known))]).collect()[0]
+        least |= {(k, same): (got[j] or 0) // 2 for j, k in enumerate(known)}
+    out = []
+    for known in every:
+        for same in (s for s in every if s <= known):
+            n = sum((-1) ** (len(k - known) + len(s - same)) * least[k, s] for k in every if known <= k for s in every if same <= s <= known)
+            if n:
+                out.append((tuple(-1 if i not in known else int(i in same) for i in range(len(columns))), n))
+    return sorted(out)
+
+
 def estimate_u(records: DataFrame, comparisons: Sequence[Comparison], model: Model, max_pairs: int = 1_000_000, seed: int = 42, link_type: str = "link_and_dedupe") -> Model:
     """Level frequencies among random pairs: records are drawn by a seeded hash so that about ``max_pairs`` pairs arise.
 
@@ -147,13 +186,13 @@ def expectation_maximisation(counted: Sequence[tuple[tuple[int, ...], int]], com
 
 def estimate_m(records: DataFrame, rules: Sequence, comparisons: Sequence[Comparison], model: Model, link_type: str = "link_and_dedupe", max_iterations: int = 25) -> Model:
     """One round of EM a training rule; comparisons that use the rule's columns are held out. m is the mean over the rounds that trained it."""
-    columns = sorted({c for x in comparisons for c in x.columns})
     trained: dict[str, list[dict[str, float]]] = {}
     log = []
     for rule in usable_rules(rules, records.columns):
         held_out = {c.name for c in comparisons if set(c.columns) & rule_columns(rule)}
-        counted = patterns(candidate_pairs(records, [rule], link_type, columns), comparisons)
-        m, share, steps, done = expectation_maximisation(counted, comparisons, held_out, model, max_iterations)
+        used = [c for c in comparisons if c.name not in held_out] or comparisons
+        counted = block_patterns(records, rule, used, link_type)
+        m, share, steps, done = expectation_maximisation(counted, used, held_out, model, max_iterations)
         log.append({"rule": rule.description, "pairs": sum(x for _, x in counted), "iterations": steps, "converged": done, "match_share": share, "held_out": sorted(held_out)})
         if counted:
             for name, levels in m.items():
