@@ -199,3 +199,27 @@ def test_bpe_of_words_of_a_megabyte(spark):
     rows = [(1, letters), (2, "a" * (1 << 16))]
     got = {r.doc_id: list(r.ids) for r in bpe.encode(docs(spark, rows), bpe.Codec(path, public_tokenizers.PATTERN)).collect()}
     assert all(got[i] == t.encode_ordinary(x) for i, x in rows)
+
+
+def test_bpe_steps_do_not_search_arrays(spark, monkeypatch):
+    """Pieces up to SWEPT bytes are folded by one number a piece: array_position is left to the sweep of longer ones."""
+    import pickle
+
+    import pyarrow as pa
+    import tiktoken
+
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    t = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    codec = bpe.Codec(path, public_tokenizers.PATTERN)
+    letters = "".join(np.random.default_rng(6).choice(list("aeinrst"), bpe.SWEPT + 1))
+    words = [w.encode() for w in (letters, letters[:-1], "a" * bpe.SWEPT, "ab" * 100, "x", " enauxrement", "ndhaenaningtiing")]
+    rows = spark.createDataFrame([(i, codec.bytes[list(w)].tolist()) for i, w in enumerate(words)], "k int, single array<int>")
+    searches, position = [], F.array_position
+    monkeypatch.setattr(F, "array_position", lambda *a: searches.append(a) or position(*a))
+    fold = codec.bound(lambda f: f(F.col("single")))
+    got = {r.k: list(r.ids) for r in rows.select("k", fold.alias("ids")).collect()}
+    assert [got[i] for i in range(len(words))] == [t._core_bpe.encode_single_piece(w) for w in words]
+    assert len(searches) == 1  # in the sweep
+    assert "unhex" not in str(codec.decoded(F.col("ids"))) + str(codec.little_endian(F.col("ids")))
+    known = bpe.Folded(pa.table({"word": ["é", "ab"], "ids": pa.array([[1, 70000], []], pa.list_(pa.int32()))}))
+    assert pickle.loads(pickle.dumps(known))() == {"é": np.array([1, 70000], "<i4").tobytes(), "ab": b""}

@@ -22,7 +22,7 @@ from weldrow.session import written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Most frequent words that are folded once for the whole corpus, at most; documents they are counted in, at most about.
-FREQUENT, COUNTED_ROWS = 200_000, 20_000
+FREQUENT, COUNTED_ROWS = 800_000, 20_000
 #: Bytes of a word from which it is cut where no token can lie, and is not among the frequent ones.
 LONG = 64
 #: Units between spaces whose ids a worker remembers, at most, of at most LONG letters.
@@ -33,8 +33,9 @@ SWEPT = 256
 FITTED = 4096
 #: Characters of a plan's text that are kept.
 PLAN_TEXT = 4096
-#: The rank of no pair.
-NONE = 2**31 - 1
+#: Bits of a rank, and of a piece's place in a word that is not swept; the rank of no pair, beyond all others.
+RANK_BITS, PLACE_BITS = 24, SWEPT.bit_length()
+NONE = 1 << RANK_BITS
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -108,6 +109,8 @@ class Codec:
 
     def __init__(self, path: str, pat: str) -> None:
         self.ranks = ranks = read_ranks(path)
+        if max(ranks.values()) >= NONE:
+            raise ValueError(f"ranks must be below {NONE}")
         self.pat = pat
         pairs: dict[int, dict[int, int]] = {}
         for token, rank in ranks.items():
@@ -119,8 +122,9 @@ class Codec:
         by_id = [b""] * (max(ranks.values()) + 1)
         for k, v in ranks.items():
             by_id[v] = k
-        listed = lambda xs, kind="string": F.from_json(F.lit(json.dumps(xs, separators=(",", ":"))), f"array<{kind}>")
-        self.pieces, self.le = listed([x.hex().upper() for x in by_id]), listed([i.to_bytes(4, "little").hex().upper() for i in range(len(by_id))])
+        # text that holds any bytes; JSON has them in base64
+        held = lambda xs: F.from_json(F.lit(json.dumps([base64.b64encode(x).decode() for x in xs], separators=(",", ":"))), "array<binary>").cast("array<string>")
+        self.pieces, self.le = held(by_id), held([i.to_bytes(4, "little") for i in range(len(by_id))])
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
 
     def bound(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
@@ -136,18 +140,33 @@ class Codec:
         def ranked(p: Column) -> Column:
             return F.transform(p, lambda x, i: made(x, F.get(p, i + 1)))
 
-        # State: ids of the pieces, and for each the id that it and its successor make (NONE if none). Each step merges
-        # the least pair, as long as there is one; only the two pairs beside it are looked up again.
-        def merged(p: Column, r: Column, m: Column, at: Column) -> Column:
-            n = F.size(p)
-            beside = F.when(at > 0, F.array(made(F.get(p, at - 1), m), made(m, F.get(p, at + 2)))).otherwise(F.array(made(m, F.get(p, at + 2))))
-            pieces = F.concat(F.slice(p, F.lit(1), at), F.array(m), F.slice(p, at + 3, n))
-            return F.struct(pieces.alias("p"), F.concat(F.slice(r, F.lit(1), F.greatest(at - 1, F.lit(0))), beside, F.slice(r, at + 3, n)).alias("r"))
+        # State: for each piece one number of the id that it and its successor make (NONE if none), its place and its id,
+        # from the highest bits down. So the least number names the least pair, the leftmost of equals, and its place. Each
+        # step merges that pair, as long as there is one; only the two pairs beside it are looked up again. (Spark throws
+        # an exception to end array_position, and concat of arrays goes through lazy lists.)
+        def state(rank: Column, place: Column, piece: Column) -> Column:
+            return F.shiftleft(rank.cast("long"), PLACE_BITS + RANK_BITS).bitwiseOR(F.shiftleft(place.cast("long"), RANK_BITS)).bitwiseOR(piece)
 
-        def step(s: Column, _: Column) -> Column:
-            return let(F.array_min(s["r"]), lambda m: F.when(m == NONE, s).otherwise(let(F.array_position(s["r"], m).cast("int") - 1, lambda at: merged(s["p"], s["r"], m, at))))
+        def piece(x: Column) -> Column:
+            return x.bitwiseAND(F.lit(NONE - 1).cast("long"))
 
-        pairwise = let(single, lambda p: F.aggregate(F.slice(p, F.lit(2), F.size(p)), F.struct(p.alias("p"), ranked(p).alias("r")), step)["p"])
+        def merged(q: Column, m: Column, at: Column) -> Column:
+            def renewed(x: Column, i: Column) -> Column:
+                before = let(piece(x), lambda a: state(made(a, m), i, a))
+                return F.when(i > at, x - F.lit(NONE).cast("long")).when(i < at - 1, x).when(i == at, state(made(m, piece(F.get(q, at + 2))), at, m)).otherwise(before)
+
+            return F.transform(F.filter(q, lambda _, i: i != at + 1), renewed)
+
+        def step(q: Column, _: Column) -> Column:
+            def once(least: Column) -> Column:
+                place = F.shiftright(least, RANK_BITS).bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("long")).cast("int")
+                new = let(F.shiftright(least, PLACE_BITS + RANK_BITS), lambda m: let(place, lambda at: merged(q, m, at)))
+                return F.when(least >= F.lit(NONE << (PLACE_BITS + RANK_BITS)), q).otherwise(new)
+
+            return let(F.array_min(q), once)
+
+        start = let(single, lambda p: F.transform(p, lambda x, i: state(made(x, F.get(p, i + 1)), i, x.cast("long"))))
+        pairwise = F.transform(F.aggregate(F.slice(single, F.lit(2), F.size(single)), start, step), lambda x: piece(x).cast("int"))
 
         # Long pieces: the state is the ids as text, and a step replaces the least pair wherever it stands. No pair
         # that a merge makes ranks before it, as no token of a learned vocabulary comes before its parts.
@@ -163,17 +182,17 @@ class Codec:
         def sweep(s: Column, _: Column) -> Column:
             return F.when(s["done"], s).otherwise(let(ids_of(s["text"]), lambda p: let(ranked(p), lambda r: let(F.array_min(r), lambda m: replaced(p, r, m, s["text"])))))
 
-        start = F.struct(F.concat(F.lit("["), F.array_join(single.cast("array<string>"), "]["), F.lit("]")).alias("text"), F.lit(False).alias("done"))
-        swept = ids_of(F.aggregate(single, start, sweep)["text"])
+        joined = F.struct(F.concat(F.lit("["), F.array_join(single.cast("array<string>"), "]["), F.lit("]")).alias("text"), F.lit(False).alias("done"))
+        swept = ids_of(F.aggregate(single, joined, sweep)["text"])
         return F.when(F.size(single) > SWEPT, swept).otherwise(pairwise)
 
     def little_endian(self, ids: Column) -> Column:
         """The ids as unsigned 32-bit integers, lowest byte first."""
-        return let(self.le, lambda le: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(le, i)), "")))
+        return let(self.le, lambda le: F.array_join(F.transform(ids, lambda i: F.get(le, i)), "")).cast("binary")
 
     def decoded(self, ids: Column) -> Column:
         """The pieces' bytes in a row."""
-        return let(self.pieces, lambda pieces: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")))
+        return let(self.pieces, lambda pieces: F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")).cast("binary")
 
 
 _SPACES = re.compile(r" (?:\s|\Z)")
@@ -214,6 +233,28 @@ class Splitter:
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+class Folded:
+    """Words whose ids are folded already, for Python workers: a dictionary of word to ids, four bytes each, made once a worker."""
+
+    def __init__(self, table: pa.Table) -> None:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        self.raw = sink.getvalue().to_pybytes()
+        self.made: dict[str, bytes] | None = None
+
+    def __getstate__(self):
+        return {"raw": self.raw, "made": None}
+
+    def __call__(self) -> dict[str, bytes]:
+        if self.made is None:
+            self.made = {}
+            for b in pa.ipc.open_stream(self.raw):
+                ends, ids = b.column(1).offsets.to_pylist(), np.asarray(b.column(1).values, "<i4").tobytes()
+                self.made.update(zip(b.column(0).to_pylist(), (ids[4 * x : 4 * y] for x, y in zip(ends, ends[1:], strict=False)), strict=True))
+        return self.made
+
+
 def frequent_words(docs: DataFrame, codec: Codec, text_col: str = "text", most: int = FREQUENT) -> DataFrame:
     """``word, ids`` of the corpus' most frequent words that are no tokens: at most ``most`` of at most LONG bytes, each folded once."""
     splitter = docs.sparkSession.sparkContext.broadcast(Splitter(codec.pat, codec.ranks))
@@ -253,28 +294,28 @@ def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str
     """
     counted = about(docs.select(id_col, text_col), F.col(id_col), COUNTED_ROWS)
     got = frequent_words(counted, codec, text_col).toArrow()
-    known = {w: ids for w, ids in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)}
-    shared = docs.sparkSession.sparkContext.broadcast((Splitter(codec.pat, codec.ranks), known))
+    shared = docs.sparkSession.sparkContext.broadcast((Splitter(codec.pat, codec.ranks), Folded(got)))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     single = ByteIds(codec.bytes)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each text, runs of known ids, each with the number of the piece that is to be folded after it, and those pieces."""
+        """For each text, runs of known ids, and between them the numbers of the pieces that are to be folded there, and those pieces."""
         splitter, often = shared.value
         ranks, words = splitter.ranks, splitter.words
-        known = {w: tuple(ids) for w, ids in often.items()}  # and, as they are met, tokens
-        whole_units: dict[str, tuple[int, ...]] = {}
+        known = often()  # and, as they are met, tokens
+        whole_units: dict[str, bytes] = {}
         for whole in batches:
             for b in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
                 pieces: list[bytes] = []
-                piece_ends, ids, run_ends, after, part_ends = [0], [], [0], [], [0]
+                # ids are kept as their four bytes each; a part is the ids up to its end or, if there is one, the piece to fold
+                piece_ends, ids, run_ends, folds, part_ends = [0], bytearray(), [0], [], [0]
                 for t in b.column(1):
                     mine: dict[bytes, int] = {}
                     for unit in splitter.units(t.as_py() or ""):
                         if (got := whole_units.get(unit)) is not None:
                             ids += got
                             continue
-                        start, before = len(ids), len(after)
+                        start, before = len(ids), len(folds)
                         for w in words(unit):
                             if (got := known.get(w)) is not None:
                                 ids += got
@@ -282,25 +323,30 @@ def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str
                             raw = w.encode()
                             for piece in splitter.pieces(raw) if len(raw) > LONG else (raw,):
                                 if (rank := ranks.get(piece)) is None:
-                                    run_ends.append(len(ids))
-                                    after.append(mine.setdefault(piece, len(mine)))
+                                    at = len(ids) // 4
+                                    if at > run_ends[-1]:
+                                        run_ends.append(at)
+                                        folds.append(-1)
+                                    run_ends.append(at)
+                                    folds.append(mine.setdefault(piece, len(mine)))
                                 else:
-                                    ids.append(rank)
+                                    ids += (got := rank.to_bytes(4, "little"))
                                     if piece is raw:
-                                        known[w] = (rank,)
-                        if len(after) == before and len(unit) <= LONG and len(whole_units) < UNITS:
-                            whole_units[unit] = tuple(ids[start:])
-                    run_ends.append(len(ids))
-                    after.append(-1)
-                    part_ends.append(len(after))
+                                        known[w] = got
+                        if len(folds) == before and len(unit) <= LONG and len(whole_units) < UNITS:
+                            whole_units[unit] = bytes(ids[start:])
+                    run_ends.append(len(ids) // 4)
+                    folds.append(-1)
+                    part_ends.append(len(folds))
                     pieces += mine
                     piece_ends.append(len(pieces))
-                runs = pa.ListArray.from_arrays(pa.array(run_ends, pa.int32()), pa.array(ids, pa.int32()))
-                parts = pa.ListArray.from_arrays(pa.array(part_ends, pa.int32()), pa.StructArray.from_arrays([runs, pa.array(after, pa.int32())], names=["ids", "fold"]))
+                flat = pa.Array.from_buffers(pa.int32(), len(ids) // 4, [None, pa.py_buffer(bytes(ids))])
+                runs = pa.ListArray.from_arrays(pa.array(run_ends, pa.int32()), flat)
+                parts = pa.ListArray.from_arrays(pa.array(part_ends, pa.int32()), pa.StructArray.from_arrays([runs, pa.array(folds, pa.int32())], names=["ids", "fold"]))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(piece_ends, pa.int32()), single(pieces)), parts], names=["doc_id", "folds", "parts"])
 
     rows = slim.mapInArrow(split, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, folds array<array<int>>, parts array<struct<ids:array<int>,fold:int>>")
-    joined = lambda done: F.flatten(F.transform("parts", lambda p: F.when(p["fold"] < 0, p["ids"]).otherwise(F.concat(p["ids"], F.get(done, p["fold"])))))
+    joined = lambda done: F.flatten(F.transform("parts", lambda p: F.when(p["fold"] < 0, p["ids"]).otherwise(F.get(done, p["fold"]))))
     ids = codec.bound(lambda fold: let(F.transform("folds", fold), joined))
     return rows.select("doc_id", ids.alias("ids"))
 
