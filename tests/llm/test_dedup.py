@@ -89,6 +89,26 @@ def test_simhash_components_against_brute_force(spark, tree_size):
     assert simhash.simhash_components(docs(spark, [])).count() == 0
 
 
+def test_simhash_components_leave_as_many_files_as_their_rows_need(spark, tmp_path):
+    folder, conf = spark.sparkContext.getCheckpointDir(), {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    try:
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(["the same words in a text", *(f"text {i}" for i in range(8))] * 4)], "doc_id long, text string")
+        simhash.simhash_components(rows).collect()
+        got = {r.node: r.component for r in simhash.connected_components(spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long"), "a", "b").collect()}
+    finally:
+        if folder:
+            spark.sparkContext.setCheckpointDir(folder.rpartition("/")[0])
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    cuts = [len(list(x.glob("part-*"))) for x in tmp_path.glob("*/rdd-*")]
+    assert set(got) == set(range(61)) and set(got.values()) == {0}
+    assert len(cuts) > 8 and sum(n > 1 for n in cuts) <= 3  # the scan, and edges before they are counted
+
+
 def test_near_groups_against_brute_force(spark):
     rng = np.random.default_rng(6)
     rows = []

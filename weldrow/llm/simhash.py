@@ -170,7 +170,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     repeated rows link to each other. Other columns are not read. An empty table gives an empty result.
     """
     rows = cut(fingerprints(docs, id_col, text_col, words))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), rows.count())
     labels = connected_components(linked(distinct, radius, tree_size), "a", "b").select(F.col("node").alias("fp"), "component")
     named = distinct.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from weldrow.session import cut
 
 
-def _hooks(edges: DataFrame) -> DataFrame:
-    """(node, up): each node hooks to its least neighbour or itself, and follows hooks to their end.
+def _hooks(edges: DataFrame, most: int) -> DataFrame:
+    """(node, up): each of up to ``most`` nodes hooks to its least neighbour or itself, and follows hooks to their end.
 
     Following doubles its reach each time, so a chain of any length ends after the logarithm of it.
     """
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    up = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("up")))
+    up = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("up")), most)
     while True:
         top = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        up = cut(up.join(top, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+        up = cut(up.join(top, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), most)
         if up.where("moved").isEmpty():
             return up.drop("moved")
 
@@ -28,13 +28,15 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     Returns ``(node, component)``. Nulls and self loops are ignored; repeated and reversed edges count once. Only
     joins and partial minima are used, so no task ever holds a whole component; edges shrink geometrically and the
     loop ends when none is left. Skewed nodes are split by adaptive execution, as the joins are plain equi-joins.
+    Once the edges are counted, each cut leaves as many files as its rows need and not one for every partition.
     """
     e = edges.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b"))
     e = e.where(F.col(left).isNotNull() & F.col(right).isNotNull()).where("a <> b").distinct()
     e = cut(e)
+    n = first = e.count()
     labels = None
     while True:
-        up = _hooks(e)
+        up = _hooks(e, 2 * n)
         if labels is None:
             labels = up.select("node", F.col("up").alias("component"))
         else:
@@ -42,7 +44,8 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
             labels = labels.join(nxt, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
         ua, ub = up.select(F.col("node").alias("a"), F.col("up").alias("ua")), up.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         e = e.join(ua, "a").join(ub, "b").where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
-        e = cut(e)
-        labels = cut(labels)
-        if e.isEmpty():
+        e = cut(e, n)
+        labels = cut(labels, 2 * first)
+        n = e.count()
+        if not n:
             return labels
