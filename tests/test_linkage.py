@@ -8,6 +8,7 @@ from weldrow.config import ClusterQAConfig, EngagementConfig, SchemaMapping, Sou
 from weldrow.fields import FieldType, get_field_type, list_field_types, register_field_type
 from weldrow.operators import cluster as C
 from weldrow.operators import model as M
+from weldrow.operators.blocking import candidate_pairs
 from weldrow.operators.components import connected_components
 from weldrow.profiles import ORGANIZATION, PROVIDER, BlockingRule, HardConstraint, PairConstraint, get_profile, list_profiles, register_profile
 
@@ -205,3 +206,16 @@ def test_equalities_are_counted_without_pairs(spark, monkeypatch):
         assert M.block_patterns(df, rule, compared) == want and len(want) > 5
         model = M.estimate_m(df, [rule], [one("name"), *compared], M.start_model([one("name"), *compared]))
     assert model.log[0]["pairs"] == sum(n for _, n in want) and model.log[0]["held_out"] == ["name"]
+
+
+def test_pieces_of_large_blocks_give_the_same_pairs_from_many_tasks(spark):
+    rules = [BlockingRule(("a",)), BlockingRule(("b", "c")), BlockingRule(("c",)), BlockingRule(("a", "b")), BlockingRule(sql="l.a = r.c AND l.c = r.a"), BlockingRule(("b",))]
+    rows = [(f"n{i * 7 % 100:02}", "xy"[i % 2], f"a{i % 13}" if i % 5 else None, f"b{i % 2}" if i % 7 else None, f"{'ac'[i % 2]}{i % 3}") for i in range(90)]
+    rows += [*rows[:4], (None, "x", "a1", "b1", "c1"), ("p1", "x", "a20", None, "a21"), ("p2", "y", "a21", None, "a20"), ("n00", "y", "a2", "b0", "a2")]
+    records = spark.createDataFrame(rows, "unique_id string, source_dataset string, a string, b string, c string")
+    for link in ("link_and_dedupe", "link_only"):
+        plain, cut_up = (sorted(map(tuple, candidate_pairs(records, rules, link, ["b"], piece=p).collect()), key=str) for p in (None, 4))
+        assert plain == cut_up and {x[2] for x in plain} == {0, 1, 2, 4, 5}
+    one = spark.range(100).selectExpr("cast(id as string) as unique_id", "'x' as source_dataset", "concat('k', id div 1000) as a")
+    got = candidate_pairs(one, rules[:1], columns=(), piece=8)
+    assert got.count() == 100 * 99 // 2 and got.select(F.spark_partition_id()).distinct().count() > 1
