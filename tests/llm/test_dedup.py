@@ -222,3 +222,35 @@ def test_vector_tables_keep_their_recall_off_centre(mean):
     off -= (off * a).sum(axis=1, keepdims=True) * a
     b = 0.98 * a + np.sqrt(1 - 0.98**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
     assert (coder.keys(a) == coder.keys(b)).any(axis=1).mean() >= 0.975
+
+
+@pytest.mark.parametrize("alone", [0, 40, 1000])
+def test_components_joined_by_one_task_are_those_of_rounds(spark, alone):
+    rng = np.random.default_rng(12)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-150, 150, (120, 2))] + [(i, i + 1) for i in range(1000, 1080)] + [(5, 5), (None, 7)]
+    nodes = sorted({x for a, b in pairs if a is not None and a != b for x in (a, b)})
+    sets = Sets(len(nodes))
+    for a, b in pairs:
+        if a is not None and a != b:
+            sets.union(nodes.index(a), nodes.index(b))
+    want = {x: nodes[sets.find(i)] for i, x in enumerate(nodes)}
+    got = simhash.connected_components(spark.createDataFrame(pairs, "a long, b long"), "a", "b", alone).collect()
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+    text = spark.createDataFrame([("é", "z"), ("z", "\U0001f600"), ("\uffee", "\U0001f600"), ("b", "a")], "a string, b string")
+    assert {r.node: r.component for r in simhash.connected_components(text, "a", "b", alone).collect()} == {"z": "z", "é": "z", "\uffee": "z", "\U0001f600": "z", "a": "a", "b": "a"}
+    assert simhash.connected_components(spark.createDataFrame([], "a long, b long"), "a", "b", alone).count() == 0
+
+
+def test_near_groups_leave_few_folders_and_no_marker_files(spark, tmp_path):
+    """The driver starts a child process for every folder and file that it makes; such a child can count as large as the driver."""
+    folder = spark.sparkContext.getCheckpointDir()
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[i:], f"x{i}"] if i < 12 else [f"t{i}w{k}" for k in range(9)])) for i in range(30)]
+    try:
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+        got = simhash.near_groups(docs(spark, rows)).collect()
+    finally:
+        if folder:
+            spark.sparkContext.setCheckpointDir(folder.rpartition("/")[0])
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, 0) for i in range(12)}
+    assert len(list(tmp_path.glob("*/rdd-*"))) <= 15 and not list(tmp_path.glob("*/table-*/_SUCCESS"))

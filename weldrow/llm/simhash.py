@@ -15,7 +15,7 @@ from weldrow.llm.blocks import in_blocks
 from weldrow.llm.runs import Sets, iter_runs
 from weldrow.llm.sampling import about
 from weldrow.operators.components import connected_components
-from weldrow.session import cut, written
+from weldrow.session import ROWS_A_FILE, cut, written
 
 SHINGLE_WORDS, RADIUS = 3, 2
 #: Fingerprints in a tree; a shard with more is cut into such blocks, every two of which meet.
@@ -190,6 +190,8 @@ NEAR_CHARS = 1 << 23
 ORDER_ROWS, FREQUENT = 20_000, 4
 #: Orders of documents, of which a key takes one: the first of its documents leads it.
 LEADERS = 4
+#: Edges that one task joins at the end of the components of near duplicates, at most; more are first contracted in rounds.
+ALONE = ROWS_A_FILE
 #: Stands for the shingles of a document without words.
 NO_WORDS = 0
 
@@ -460,17 +462,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     led = shared.where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
     met = simhash_links(heads.select("id", "fp")).unionAll(led).distinct()
     first = verified(likely(cut(likely(met, "short")), "odd"))
-    joined = connected_components(first, "a", "b").select(F.col("node").alias("id"), "component")
+    joined = connected_components(first, "a", "b", ALONE).select(F.col("node").alias("id"), "component")
     rest = shared.join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     rest = rest.withColumns({"low": F.min("component").over(key), "high": F.max("component").over(key)}).where("low <> high").select("key", "id", "component")
     on = ["key", "_i", "_j"]
     dealt = in_blocks(cut(rest), ["key"], "id", NEAR_BLOCK).join(heads.select("id", "size", "odd"), "id").select(*on, "_block", "id", "component", "size", "odd")
     maybe = cut(dealt.repartition(*on).sortWithinPartitions(*on, "id").mapInArrow(_across(similarity), "a long, b long").distinct())
-    chained = connected_components(maybe, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("key"))
+    chained = connected_components(maybe, "a", "b", ALONE).select(F.col("node").alias("id"), F.col("component").alias("key"))
     texts = written(slim.join(chained, "id").join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), "text", F.coalesce(F.length("text"), F.lit(0)).alias("chars")))
     dealt = in_blocks(texts, ["key"], "id", NEAR_BLOCK, "chars", NEAR_CHARS).select(*on, "_block", "id", "component", "text")
     second = cut(dealt.repartition(*on).sortWithinPartitions(*on, "id").mapInArrow(_among(words, similarity), "a long, b long").distinct())
-    return connected_components(first.unionAll(second), "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    return connected_components(first.unionAll(second), "a", "b", ALONE).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY) -> DataFrame:
