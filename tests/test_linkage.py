@@ -208,6 +208,20 @@ def test_equalities_are_counted_without_pairs(spark, monkeypatch):
     assert model.log[0]["pairs"] == sum(n for _, n in want) and model.log[0]["held_out"] == ["name"]
 
 
+def test_pieces_share_one_join_for_all_rules_swapped_columns_included(spark):
+    """Pairs of several rules come from one join without a union above it, which would make each of them a row of its own."""
+    swap = BlockingRule(sql="l.a = r.b AND r.a = l.b")
+    rows = [(f"n{i * 7 % 60:02}", "xy"[i % 2], f"a{i % 2}" if i % 9 else None, f"a{(i // 2) % 3}", f"c{i % 5}" if i % 4 else None) for i in range(60)]
+    records = spark.createDataFrame([*rows, *rows[:3], ("n00", "y", "a1", "a0", "c2"), (None, "x", "a1", "a0", "c2")], "unique_id string, source_dataset string, a string, b string, c string")
+    for rules in ([BlockingRule(("c",)), swap], [swap, BlockingRule(("a", "b")), BlockingRule(("c",)), BlockingRule(("b",))], [BlockingRule(sql="l.a = r.a AND l.c <> r.c"), BlockingRule(("b",)), swap]):
+        for link in ("link_and_dedupe", "link_only"):
+            plain, cut_up = (candidate_pairs(records, rules, link, ["c", "source_dataset"], piece=p) for p in (None, 3))
+            got = sorted(map(tuple, cut_up.collect()), key=str)
+            assert got == sorted(map(tuple, plain.collect()), key=str) and len({x[2] for x in got}) > 1
+        plan = cut_up._jdf.queryExecution().optimizedPlan().toString()
+        assert (plan.count("Join "), "Union" in plan) == (1, False) if "<>" not in (rules[0].sql or "") else "Union" in plan
+
+
 def test_pieces_of_large_blocks_give_the_same_pairs_from_many_tasks(spark):
     rules = [BlockingRule(("a",)), BlockingRule(("b", "c")), BlockingRule(("c",)), BlockingRule(("a", "b")), BlockingRule(sql="l.a = r.c AND l.c = r.a"), BlockingRule(("b",))]
     rows = [(f"n{i * 7 % 100:02}", "xy"[i % 2], f"a{i % 13}" if i % 5 else None, f"b{i % 2}" if i % 7 else None, f"{'ac'[i % 2]}{i % 3}") for i in range(90)]
